@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, toxicity
+from . import bpe, secrets, toxicity
 from .common import read_table as table
 
 
@@ -17,9 +17,16 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_secret_scans(spark, sf_dir):
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
+    "op6_secret_scans": op6_secret_scans,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_secret_scans": secrets.oracle(),
+}
