@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, secrets, toxicity
+from . import bpe, multiset_hash, secrets, toxicity
 from .common import read_table as table
 
 
@@ -21,12 +21,18 @@ def op6_secret_scans(spark, sf_dir):
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_multiset_hash(spark, sf_dir):
+    return multiset_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op6_secret_scans": op6_secret_scans,
+    "op7_multiset_hash": op7_multiset_hash,
 }
 
 ORACLES: dict[str, str] = {
     "op6_secret_scans": secrets.oracle(),
+    "op7_multiset_hash": multiset_hash.oracle(),
 }
