@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, multiset_hash, secrets, toxicity
+from . import bpe, multiset_hash, secrets, toxicity, url_filter
 from .common import read_table as table
 
 
@@ -17,6 +17,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scans(spark, sf_dir):
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -28,11 +32,13 @@ def op7_multiset_hash(spark, sf_dir):
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
+    "op4_url_filter": op4_url_filter,
     "op6_secret_scans": op6_secret_scans,
     "op7_multiset_hash": op7_multiset_hash,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_url_filter": url_filter.oracle(),
     "op6_secret_scans": secrets.oracle(),
     "op7_multiset_hash": multiset_hash.oracle(),
 }
