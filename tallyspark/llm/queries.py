@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, multiset_hash, secrets, toxicity, url_filter
+from . import bpe, multiset_hash, quality, secrets, toxicity, url_filter
 from .common import read_table as table
 
 
@@ -21,6 +21,11 @@ def op4_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")), top=2))
+
+
 def op6_secret_scans(spark, sf_dir):
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op4_url_filter": op4_url_filter,
+    "op5_quality": op5_quality,
     "op6_secret_scans": op6_secret_scans,
     "op7_multiset_hash": op7_multiset_hash,
 }
