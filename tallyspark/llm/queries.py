@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, multiset_hash, packing, quality, secrets, toxicity, url_filter
+from . import bpe, multiset_hash, ngram_join, packing, quality, secrets, toxicity, url_filter
 from .common import read_table as table
 
 
@@ -34,6 +34,10 @@ def op7_multiset_hash(spark, sf_dir):
     return multiset_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark, sf_dir):
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_secret_scans": op6_secret_scans,
     "op7_multiset_hash": op7_multiset_hash,
+    "op8_ngram_join": op8_ngram_join,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
