@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, multiset_hash, ngram_join, packing, quality, secrets, toxicity, url_filter
+from . import bpe, lm, multiset_hash, ngram_join, packing, quality, secrets, toxicity, url_filter
 from .common import read_table as table
 
 
@@ -42,6 +42,10 @@ def op9_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_lm_scoring(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
@@ -51,6 +55,7 @@ QUERIES = {
     "op7_multiset_hash": op7_multiset_hash,
     "op8_ngram_join": op8_ngram_join,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
