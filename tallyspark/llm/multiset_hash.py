@@ -116,21 +116,20 @@ def next_document(docs: DataFrame) -> DataFrame:
     their own; only the first document of every bucket is sent to the bucket above.
     """
     bucket, n = _bucket(docs)
-    df = docs.withColumn("b", F.coalesce(F.expr(bucket).cast("long"), F.lit(-1).cast("long"))).withColumn("fp", F.expr(fingerprint_sql("t")))
-    heads = docs.withColumn("b", F.coalesce(F.expr(bucket).cast("long"), F.lit(-1).cast("long"))).groupBy("b").agg(F.max("doc_id").alias("doc_id"))
+    dealt = docs.withColumn("b", F.coalesce(F.expr(bucket).cast("long"), F.lit(-1).cast("long")))
+    heads = dealt.groupBy("b").agg(F.max("doc_id").alias("doc_id"))
     # heads has a row for each bucket, MAX_BUCKETS + 1 at most: small enough to order in one task and to broadcast
     ranked = heads.selectExpr("b", "doc_id AS head_id", "lag(b) OVER (ORDER BY b) AS below_b", "lag(doc_id) OVER (ORDER BY b) AS below_id", "max(b) OVER () AS top_b", "max_by(doc_id, b) OVER () AS top_id")
     link = ranked.selectExpr("b", "coalesce(below_b, top_b) AS head_b", "if(below_b IS NULL, top_id, below_id) AS want_id")
     texts = (
         docs.join(F.broadcast(link.select("want_id").distinct()), docs["doc_id"].eqNullSafe(F.col("want_id")))
-        .groupBy("want_id").agg(F.max("t").alias("head_t"))
-        .withColumn("head_fp", F.expr(fingerprint_sql("head_t")))
+        .groupBy("want_id").agg(F.max("t").alias("t"))
     )
-    texts = link.join(texts, link["want_id"].eqNullSafe(texts["want_id"])).select(link["b"].alias("to_b"), "head_t", "head_fp")
-    over = "OVER (PARTITION BY b ORDER BY doc_id DESC NULLS LAST, t DESC)"
-    df = df.selectExpr("doc_id", "t", "fp", "b", f"lead(t) {over} AS next_t", f"lead(fp) {over} AS next_fp", f"if(lead(b) {over} IS NULL, b, NULL) AS last_b")
-    df = df.join(texts, df["last_b"] == texts["to_b"], "left")
-    return df.select("doc_id", "t", "fp", F.coalesce("next_t", "head_t").alias("next_t"), F.coalesce("next_fp", "head_fp").alias("next_fp"))
+    # the first document of the bucket below is one more row, the last of its bucket, so that nothing is joined afterwards
+    ends = link.join(texts, link["want_id"].eqNullSafe(texts["want_id"])).select(F.lit(None).cast("long").alias("doc_id"), "t", "b", F.lit(True).alias("end"))
+    df = dealt.withColumn("end", F.lit(False)).unionByName(ends).withColumn("fp", F.expr(fingerprint_sql("t")))
+    over = "OVER (PARTITION BY b ORDER BY end, doc_id DESC NULLS LAST, t DESC)"
+    return df.selectExpr("doc_id", "t", "fp", f"lead(t) {over} AS next_t", f"lead(fp) {over} AS next_fp", "end").where("NOT end").drop("end")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
