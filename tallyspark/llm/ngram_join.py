@@ -271,7 +271,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, all its columns, with one row of each group: the one whose id names the component."""
-    found = join_documents(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["_kept"], "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs, all its columns, with one document of each group: the one whose id names the component.
+
+    Rows that share a doc_id stay or go together, equal rows among them become one;
+    rows with a null doc_id stay.
+    """
+    gone = join_documents(docs.where("doc_id IS NOT NULL")).groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("kept")).where("kept = 0")
+    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])

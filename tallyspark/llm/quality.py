@@ -156,7 +156,7 @@ def keep_good(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
     hasher = Hasher()
 
     @pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
+    def good(texts):
         return pd.Series([bool(sent.value.tails(*hasher(t or ""))[0] >= cut) for t in texts])
 
     small_batches(docs.sparkSession)
