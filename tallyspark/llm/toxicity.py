@@ -264,7 +264,7 @@ def learn_lexicon(rows: DataFrame, max_entries: int = MAX_LEXICON) -> dict[str,
     out = {w: 3.0 for w in SEED_WORDS}
     if not toxic or not clean:
         return out
-    least = max(4, toxic // 250)
+    least = max(6, toxic // 150)  # rarer ones are too often typical by chance
     counted = (
         map_batches(rows.select("text", "label"), count, "feature string, clean long, toxic long")
         .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
