@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,7 +40,8 @@ from .common import materialize, small_batches
 CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a worker remembers, at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+_MARKED = re.compile(rb"^(.*[A-Za-z0-9\x80-\xff])([!-&(-/:-@\[-`{-~]+)$", re.DOTALL)
 #: Blocks that the pieces of one length are ranked in, at least, and pieces in such a block, about.
 BLOCKS, BLOCK_ROWS = 64, 1_000_000
 
@@ -57,23 +60,47 @@ class WordIds:
     """Ids of texts, word by word.
 
     The tokenizer drops white space and none of its steps looks across it, so the
-    ids of a text are those of its blank-separated parts, joined.
+    ids of a text are those of its blank-separated parts, joined.  A part that ends in
+    ASCII marks (apostrophes excepted) behind a letter or digit is two words to the
+    tokenizer, and an ASCII part has the ids of its lower case, so that fewer
+    different words reach the tokenizer.
     """
 
     def __init__(self, path: str, bound: int = CACHE_WORDS):
-        self.path, self.bound, self.known = path, bound, {}
+        self.path, self.bound = path, bound
+        self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def _learn(self, parts: list[bytes]) -> None:
+        """Put the ids of parts into known."""
+        cut = {}
+        for p in parts:
+            low = p.lower() if p.isascii() else p
+            m = _MARKED.match(low)
+            cut[p] = m.groups() if m and (low.isascii() or m[1].decode("utf-8", "replace")[-1].isalnum()) else (low,)
+        new = [w for w in dict.fromkeys(w for words in cut.values() for w in words) if w not in self.words]
+        if len(self.words) + len(new) > self.bound:
+            self.words.clear()
+            new = list(dict.fromkeys(w for words in cut.values() for w in words))
+        if new:
+            got = _tokenizer(self.path).encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+            for w, x in zip(new, got, strict=True):
+                ids = x.ids
+                self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+        words = self.words
+        self.known.update((p, words[w[0]] if len(w) == 1 else words[w[0]] + words[w[1]]) for p, w in cut.items())
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known, split = self.known, [(t or "").encode("utf-8", "replace").split() for t in texts]
+        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        known = self.known
+        missing = {w for words in split for w in words if w not in known}
+        if len(known) + len(missing) > self.bound:
+            known.clear()
+            missing = {w for words in split for w in words}
+        if missing:
+            self._learn(sorted(missing))
         for words in split:
-            missing = [w for w in dict.fromkeys(words) if w not in known]
-            if missing:
-                if len(known) + len(missing) > self.bound:
-                    known.clear()
-                    missing = list(dict.fromkeys(words))
-                got = _tokenizer(self.path).encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-                known.update(zip(missing, (np.array(x.ids, dtype="<u4").tobytes() for x in got), strict=True))
             yield b"".join(map(known.__getitem__, words))
 
 
