@@ -21,9 +21,9 @@ what a heap does on one machine the sort of that exchange does here.  Steps:
 2. List lengths come from all documents; of shingles met often a level (the
    logarithm of the count) is kept in a table of fixed size.  Levels only decide the
    order: any order gives exact results.
-3. Short lists with two classes or more are kept.  In each, every class is probed
-   against the list's smallest (its hub), so that large groups of near copies join
-   in a number of probes linear in their size.
+3. Short lists with two classes or more are kept.  In each, every class is held
+   against the list's smallest (its hub): pairs that share enough lists are probed.  So
+   large groups of near copies join in a number of probes linear in their size.
 4. Components of these links are found.  Lists whose classes are all connected
    are done.  In the others every pair of classes in different components is counted
    over the lists it shares, filtered as above, probed, and linked.
@@ -175,13 +175,14 @@ def short_lists(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, shingles of the wanted documents (doc_id, cls).
+    """cls, shingles of the wanted classes (cls, rep: a document of the class).
 
     A bitmap of fixed size drops most other texts before anything is moved; the
     join after it is exact.
     """
     at = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
-    bits = wanted.select(at.alias("at")).groupBy(F.expr("at div 32").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 AS int))")).alias("bits")).toArrow()
+    bits = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(BITMAP_BITS)).alias("at"))
+    bits = bits.groupBy(F.expr("at div 32").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 AS int))")).alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP_BITS // 32, dtype=np.int64)
     bitmap[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -195,8 +196,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([class_of(s) for s in sets]), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "cls", "shingles"])
 
     found = docs.where("doc_id IS NOT NULL").withColumn("at", at).mapInArrow(run, "doc_id long, cls long, shingles array<long>")
-    # the class must agree too: ids may be repeated
-    return found.join(wanted.select("doc_id", "cls"), ["doc_id", "cls"]).dropDuplicates(["doc_id"]).select("doc_id", "shingles")
+    found = found.join(wanted, "cls").where("doc_id = rep")
+    return found.groupBy("cls").agg(F.first("shingles").alias("shingles"))  # ids may be repeated
 
 
 def probe(hub: np.ndarray, members: list[np.ndarray]) -> np.ndarray:
@@ -212,9 +213,9 @@ def _probe_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (hub, member) that link, as edges (a, b).  Members of a hub are dealt to cells of about CELL."""
     sizes = pairs.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {CELL}) AS int)").alias("cells"))
     cells = pairs.join(sizes, "hub").withColumn("cell", F.pmod(F.xxhash64("member"), F.col("cells")).cast("int"))
-    members = cells.join(sets, cells["member"] == sets["doc_id"]).select("hub", "cell", "member", "shingles")
+    members = cells.join(sets, cells["member"] == sets["cls"]).select("hub", "cell", "member", "shingles")
     spread = sizes.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    hubs = spread.join(sets, spread["hub"] == sets["doc_id"]).select(F.col("hub").alias("h"), F.col("cell").alias("c"), F.col("shingles").alias("of_hub"))
+    hubs = spread.join(sets, spread["hub"] == sets["cls"]).select(F.col("hub").alias("h"), F.col("cell").alias("c"), F.col("shingles").alias("of_hub"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -225,48 +226,65 @@ def _probe_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return hubs.groupBy("h", "c").cogroup(members.groupBy("hub", "cell")).applyInPandas(run, "a long, b long")
 
 
+def _long(n: str) -> str:
+    """SQL for the number of long lists of a set of n."""
+    return f"(({NUM} * {n} + {DEN - 1}) div {DEN} - 1)"
+
+
+def _may_link(c: str, n: str, m: str) -> str:
+    """SQL: sets of n and m that share c short lists may reach the overlap they need."""
+    return f"{c} + greatest({_long(n)}, {_long(m)}) >= (({NUM} * ({n} + {m}) + {NUM + DEN - 1}) div {NUM + DEN})"
+
+
+def _links(texts: DataFrame, pairs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    """The pairs (hub, member) that link, as edges (a, b)."""
+    named = pairs.select(F.col("hub").alias("cls")).unionAll(pairs.select(F.col("member").alias("cls"))).distinct()
+    sets = materialize(_sets(texts, named.join(classes, "cls")), f"{label}-sets")
+    links = materialize(_probe_pairs(pairs, sets), label)
+    discard(sets)
+    return links
+
+
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     small_batches(docs.sparkSession)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     first = materialize(classes_and_counts(texts), "classes")
     rows = first.where("row = 0").select("doc_id", "cls", "n")
-    # one document stands for each class: from here on its id names the class
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
+    # one exchange brings the lists together; lists of one class go
     lists = short_lists(texts, list_levels(first))
-    lists = lists.selectExpr("shingle", "cls", "n", "min(cls) OVER (PARTITION BY shingle) AS low", "max(cls) OVER (PARTITION BY shingle) AS high").where("low < high")
-    lists = materialize(lists.select("shingle", "cls", "n").join(classes, "cls").where("rep IS NOT NULL").select("shingle", "n", "cls", F.col("rep").alias("doc")), "lists")
+    lists = lists.selectExpr("shingle", "cls", "n", "min(struct(cls, n)) OVER (PARTITION BY shingle) AS h", "max(cls) OVER (PARTITION BY shingle) AS high").where("h.cls < high")
+    lists = materialize(lists.select("shingle", "cls", "n", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n")), "lists")
 
     fits = f"{DEN} * least(n, hub_n) >= {NUM} * greatest(n, hub_n)"
-    hubs = lists.groupBy("shingle").agg(F.min(F.struct("doc", "n")).alias("h")).select("shingle", F.col("h.doc").alias("hub"), F.col("h.n").alias("hub_n"))
-    pairs = materialize(lists.join(hubs, "shingle").where("doc <> hub").where(fits).select("hub", F.col("doc").alias("member")).distinct(), "hub-pairs")
-    wanted = lists.select(F.col("doc").alias("doc_id"), "cls").distinct()
-    sets = materialize(_sets(texts, wanted), "sets")
-    links = materialize(_probe_pairs(pairs, sets), "links")
+    # a hub may be hidden behind a smaller one in some lists, so that c is too small here: what this misses, the next step finds
+    pairs = lists.where("cls <> hub").where(fits).groupBy("hub", "hub_n", F.col("cls").alias("member"), "n").agg(F.count("*").alias("c"))
+    pairs = materialize(pairs.where(_may_link("c", "n", "hub_n")).select("hub", "member"), "hub-pairs")
+    links = _links(texts, pairs, classes, "links")
     labels = connected_components(links, "near")
 
-    # lists that still hold several components: count shared short lists of pairs across them
-    named = lists.join(labels, lists["doc"] == labels["node"], "left").select("shingle", "n", "doc", F.coalesce("component", "doc").alias("comp"))
+    # lists that still hold several components: count the shared short lists of all pairs across them
+    named = lists.join(labels, lists["cls"] == labels["node"], "left").select("shingle", "n", "cls", F.coalesce("component", "cls").alias("comp"))
+    named = named.selectExpr("*", "min(comp) OVER (PARTITION BY shingle) AS lo", "max(comp) OVER (PARTITION BY shingle) AS hi").where("lo < hi")
+    named = materialize(named.select("shingle", "n", "cls", "comp"), "open-lists")
     groups = named.groupBy("shingle", "comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    open_ = groups.selectExpr("*", "min(comp) OVER (PARTITION BY shingle) AS lo", "max(comp) OVER (PARTITION BY shingle) AS hi").where("lo < hi").select("shingle", "comp", "least_n", "most_n")
-    ours, theirs = open_.alias("x"), open_.alias("y")
-    across = ours.join(theirs, F.expr(f"x.shingle = y.shingle AND x.comp < y.comp AND {DEN} * x.most_n >= {NUM} * y.least_n AND {DEN} * y.most_n >= {NUM} * x.least_n"))
+    across = groups.alias("x").join(groups.alias("y"), F.expr(f"x.shingle = y.shingle AND x.comp < y.comp AND {DEN} * x.most_n >= {NUM} * y.least_n AND {DEN} * y.most_n >= {NUM} * x.least_n"))
     across = across.select(F.col("x.shingle").alias("shingle"), F.col("x.comp").alias("comp"), F.col("y.comp").alias("comp2"))
-    side = across.join(named, ["shingle", "comp"]).select("shingle", "comp2", F.col("doc").alias("hub"), F.col("n").alias("hub_n"))
+    side = across.join(named, ["shingle", "comp"]).select("shingle", "comp2", F.col("cls").alias("hub"), F.col("n").alias("hub_n"))
     both = side.join(named.withColumnRenamed("comp", "comp2"), ["shingle", "comp2"]).where(fits)
-    shared = both.groupBy("hub", "hub_n", F.col("doc").alias("member"), "n").agg(F.count("*").alias("c"))
-    long_lists = lambda n: f"(({NUM} * {n} + {DEN - 1}) div {DEN} - 1)"  # noqa: E731  n less its short lists
-    least = f"(({NUM} * (n + hub_n) + {NUM + DEN - 1}) div {NUM + DEN})"
-    shared = shared.where(f"c + greatest({long_lists('n')}, {long_lists('hub_n')}) >= {least}").select("hub", "member")
-    shared = materialize(shared.join(pairs, ["hub", "member"], "left_anti"), "cross-pairs")
-    more = materialize(_probe_pairs(shared, sets), "more-links")
+    shared = both.groupBy("hub", "hub_n", F.col("cls").alias("member"), "n").agg(F.count("*").alias("c")).where(_may_link("c", "n", "hub_n"))
+    shared = materialize(shared.select("hub", "member").join(pairs, ["hub", "member"], "left_anti"), "cross-pairs")
+    more = _links(texts, shared, classes, "more-links")
     # the first labels are links too: a node and its component
-    all_links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
-    final = connected_components(all_links, "joined")
-    for table in (sets, lists, pairs, shared, links):
-        discard(table)
-    named = classes.join(final, classes["rep"] == final["node"], "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, "cls", "left")
+    final = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "joined")
+    for done in (lists, pairs, named, shared, links):
+        discard(done)
+    # the smallest id of each component, and of each class without links
+    both = classes.join(final, classes["cls"] == final["node"], "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
+    least = both.groupBy("component").agg(F.min("rep").alias("component_id"))
+    ids = both.join(least, "component").select("cls", "component_id")
+    out = rows.join(ids, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
