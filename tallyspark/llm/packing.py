@@ -71,24 +71,24 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
-    def _learn(self, parts: list[bytes]) -> None:
-        """Put the ids of parts into known."""
-        cut = {}
+    def of_words(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of blank-free parts, without remembering the parts themselves."""
+        cut = []
         for p in parts:
             low = p.lower() if p.isascii() else p
             m = _MARKED.match(low)
-            cut[p] = m.groups() if m and (low.isascii() or m[1].decode("utf-8", "replace")[-1].isalnum()) else (low,)
-        new = [w for w in dict.fromkeys(w for words in cut.values() for w in words) if w not in self.words]
+            cut.append(m.groups() if m and (low.isascii() or m[1].decode("utf-8", "replace")[-1].isalnum()) else (low,))
+        new = [w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.words]
         if len(self.words) + len(new) > self.bound:
             self.words.clear()
-            new = list(dict.fromkeys(w for words in cut.values() for w in words))
+            new = list(dict.fromkeys(w for words in cut for w in words))
         if new:
             got = _tokenizer(self.path).encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
             for w, x in zip(new, got, strict=True):
                 ids = x.ids
                 self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
         words = self.words
-        self.known.update((p, words[w[0]] if len(w) == 1 else words[w[0]] + words[w[1]]) for p, w in cut.items())
+        return [words[w[0]] if len(w) == 1 else words[w[0]] + words[w[1]] for w in cut]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -99,7 +99,8 @@ class WordIds:
             known.clear()
             missing = {w for words in split for w in words}
         if missing:
-            self._learn(sorted(missing))
+            missing = sorted(missing)
+            known.update(zip(missing, self.of_words(missing), strict=True))
         for words in split:
             yield b"".join(map(known.__getitem__, words))
 
