@@ -179,6 +179,8 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id",
 
     dealt = materialize(objects.mapInArrow(assign, "vec_id long, v array<long>, cell int, dist double"), "cells")
     cells = {r["cell"]: (r["n"], r["radius"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()}  # PIVOTS rows at most
+    if not cells:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     shards = {c: -(-m // SHARD) for c, (m, _) in cells.items()}
     first = dict(zip(sorted(shards), np.cumsum([0, *(shards[c] for c in sorted(shards))]).tolist(), strict=False))
     number = F.expr("CASE " + " ".join(f"WHEN cell = {c} THEN {first[c]} + pmod(xxhash64(vec_id), {shards[c]})" for c in shards) + " ELSE 0 END").cast("int")
@@ -237,8 +239,6 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id",
         spread = index.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
         return spread.groupBy("shard", "b").cogroup(blocks.withColumnRenamed("shard", "at_shard").groupBy("at_shard", "block")).applyInPandas(visit, result)
 
-    if not cells:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n_blocks = max(1, -(-asked.count() // BLOCK))
     routed_schema = "query_id long, v array<long>, least double, shard int"
     near = materialize(visits(asked.mapInArrow(lambda b: route(b, True), routed_schema)), "home")

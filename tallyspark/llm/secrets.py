@@ -112,8 +112,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Kinds are blanked one after another to equal length, so that positions stay;
     then each blanked run becomes one mark.
     """
-    names = docs.columns
-    df = find_spans(docs)
+    # all columns travel in one struct, whatever their names
+    df = find_spans(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), docs["text"]))
     for i in range(len(KINDS)):
         own = f"filter(spans, x -> x.k = {i})"
         blank = f"""transform(array({own}), c -> concat(
@@ -122,10 +122,17 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             substring(t, c[size(c) - 1].e + 1)))[0]"""
         df = df.withColumn("t", F.expr(f"if(exists(spans, x -> x.k = {i}), {blank}, t)"))
     hit = F.size("spans") > 0
-    df = df.withColumn("text", F.when(hit, F.regexp_replace("t", f"{MASK}+", mark.replace("[", "\\["))).otherwise(F.col("text")))
-    if "n_chars" in names:
-        df = df.withColumn("n_chars", F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*names)
+    text = F.when(hit, F.regexp_replace("t", f"{MASK}+", mark.replace("[", "\\["))).otherwise(F.col("text"))
+
+    def column(name: str):
+        old = F.col(f"_row.`{name}`")
+        if name == "text":
+            return text.alias(name)
+        if name == "n_chars":
+            return F.when(hit, F.char_length(text).cast(docs.schema[name].dataType)).otherwise(old).alias(name)
+        return old.alias(name)
+
+    return df.select(*map(column, docs.columns))
 
 
 def _duck_spans(kind: int, pattern: str, keep: str) -> str:
