@@ -35,11 +35,12 @@ def counts_column(text: Column, blocks: tuple = ()) -> Column:
     return F.struct(code.alias("code"), (solid - code).alias("comment"), (F.size(lines) - solid).cast("long").alias("blank"))
 
 
-def analyze_text(files: DataFrame, text: str = "text", language: str = "language", complexity: bool = True) -> DataFrame:
+def analyze_text(files: DataFrame, text: str = "text", language: str = "language", complexity: bool = True, simple_only: bool = False) -> DataFrame:
     """files with code, comment, blank and complexity of a text column.
 
-    The rows of languages that expressions can classify never leave the JVM; the others
-    go through one Arrow function, whole text by whole text.
+    One pass: texts of languages that expressions can classify stay in the JVM, only the
+    others are sent to the Arrow function, whole text by whole text.  With simple_only
+    there are no others, and no Python runs.
     """
     cols = [c for c in files.columns if c not in ("code", "comment", "blank", "complexity")]
     upper = F.upper(files[language])
@@ -49,10 +50,11 @@ def analyze_text(files: DataFrame, text: str = "text", language: str = "language
     for blocks in dict.fromkeys(simple.values()):
         names = [n for n, b in simple.items() if b == blocks]
         case = (F.when if case is None else case.when)(upper.isin(names), counts_column(files[text], blocks))
-    fast = files.where(known).withColumn("_c", case).select(*cols, "_c.code", "_c.comment", "_c.blank", F.lit(None).cast("long").alias("complexity"))
-    count = classifier_udf(complexity)
-    slow = files.where(~known).withColumn("_c", count(files[text], files[language])).select(*cols, "_c.code", "_c.comment", "_c.blank", "_c.complexity")
-    return fast.unionByName(slow)
+    if simple_only:
+        return files.withColumn("_c", case).select(*cols, "_c.code", "_c.comment", "_c.blank", F.lit(None).cast("long").alias("complexity"))
+    sent = classifier_udf(complexity)(F.when(~known, files[text]), files[language])
+    df = files.withColumn("_s", sent).withColumn("_c", F.when(known, case))
+    return df.select(*cols, *(F.coalesce(f"_s.{c}", f"_c.{c}").alias(c) for c in ("code", "comment", "blank")), F.col("_s.complexity").alias("complexity"))
 
 
 def classifier_udf(complexity: bool = True):

@@ -37,18 +37,18 @@ _LANGUAGE_COLUMNS = ("language", "files", "code", "comment", "blank", "total")
 # --- line counts and languages ---------------------------------------------------------------
 @query(f"WITH {SQL_PAGES} SELECT 'HTML' AS language, count(*)::BIGINT AS files, sum(code)::BIGINT AS code, sum(comment)::BIGINT AS comment, sum(blank)::BIGINT AS blank, sum(code + comment + blank)::BIGINT AS total FROM page_counts")
 def lang_summary_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.by_language(analysis.analyze_text(page_files(spark, sf_dir))).select(*_LANGUAGE_COLUMNS)
+    return analysis.by_language(analysis.analyze_text(page_files(spark, sf_dir), simple_only=True)).select(*_LANGUAGE_COLUMNS)
 
 
 @query(f"WITH {SQL_DOCS} SELECT 'Text' AS language, count(*)::BIGINT AS files, sum(code)::BIGINT AS code, 0::BIGINT AS comment, sum(blank)::BIGINT AS blank, sum(code + blank)::BIGINT AS total FROM doc_counts")
 def lang_summary_text(spark, sf_dir):
-    return analysis.by_language(analysis.analyze_text(document_files(spark, sf_dir))).select(*_LANGUAGE_COLUMNS)
+    return analysis.by_language(analysis.analyze_text(document_files(spark, sf_dir), simple_only=True)).select(*_LANGUAGE_COLUMNS)
 
 
 @query(f"WITH {SQL_PAGES} SELECT page_id, code::BIGINT AS code, comment::BIGINT AS comment, blank::BIGINT AS blank FROM page_counts")
 def file_counts_expressions(spark, sf_dir):
     """Pages by pure expressions."""
-    return analysis.analyze_text(page_files(spark, sf_dir)).select(F.col("scan_ordinal").alias("page_id"), "code", "comment", "blank")
+    return analysis.analyze_text(page_files(spark, sf_dir), simple_only=True).select(F.col("scan_ordinal").alias("page_id"), "code", "comment", "blank")
 
 
 @query(ORACLES["file_counts_expressions"])
@@ -185,7 +185,7 @@ def folder_rollup(spark, sf_dir):
 
 @query(f"WITH {SQL_DOCS}, f AS (SELECT unnest(['', 'docs', regexp_extract(rel_path, '^(docs/[^/]*)', 1), regexp_extract(rel_path, '^(docs/[^/]*/[^/]*)', 1)]) AS folder, * FROM doc_counts) SELECT folder, count(*)::BIGINT AS files, sum(code)::BIGINT AS code, sum(blank)::BIGINT AS blank FROM f GROUP BY folder")
 def folder_rollup_text(spark, sf_dir):
-    return analysis.folder_rollup(analysis.analyze_text(document_files(spark, sf_dir))).select("folder", "files", "code", "blank")
+    return analysis.folder_rollup(analysis.analyze_text(document_files(spark, sf_dir), simple_only=True)).select("folder", "files", "code", "blank")
 
 
 # --- languages of paths, filters -------------------------------------------------------------
