@@ -22,10 +22,11 @@ what a heap does on one machine the sort of that exchange does here.  Steps:
    logarithm of the count) is kept in a table of fixed size.  Levels only decide the
    order: any order gives exact results.
 3. Short lists with two classes or more are kept.  In each, every class is held
-   against the list's smallest (its hub): pairs that share enough lists are probed.  So
-   large groups of near copies join in a number of probes linear in their size.
-4. Components of these links are found.  Lists whose classes are all connected
-   are done.  In the others every pair of classes in different components is counted
+   against one of them (its hub): pairs that share enough lists are probed, components
+   of the links are found, and lists whose classes are all connected are done.  This
+   is repeated with other hubs while it connects much, so that large groups of near
+   copies join in a number of probes linear in their size.
+4. In the lists that are left every pair of classes in different components is counted
    over the lists it shares, filtered as above, probed, and linked.
 
 So every linked pair is either probed or already connected: nothing is capped,
@@ -40,6 +41,7 @@ rows and ties of doc_id give one result row each; further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +62,9 @@ LEVEL_SLOTS, BITMAP_BITS = 1 << 22, 1 << 24
 #: Shingles counted at once in a task; least count there, and in all, that gets a level.
 COUNT_CHUNK, COUNT_LEAST, LEVEL_LEAST = 2_000_000, 3, 6
 #: Members that one probe task holds beside a hub, about.
-CELL = 512
+CELL = 256
+#: Turns of hubs before pairs across components are counted, at most.
+TURNS = 6
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -245,41 +249,76 @@ def _links(texts: DataFrame, pairs: DataFrame, classes: DataFrame, label: str) -
     return links
 
 
+def _open_lists(lists: DataFrame, turn: int) -> DataFrame:
+    """Of lists (shingle, cls, n, comp) those of several components, with their hub: another one in each turn, the same for lists of the same members."""
+    hub = f"min(struct(xxhash64({turn}, cls) AS o, cls, n, comp)) OVER (PARTITION BY shingle) AS h"
+    found = lists.selectExpr("shingle", "cls", "n", "comp", hub, "min(comp) OVER (PARTITION BY shingle) AS lo", "max(comp) OVER (PARTITION BY shingle) AS hi").where("lo < hi")
+    return found.select("shingle", "cls", "n", "comp", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("hub", "member").alias("least"), F.greatest("hub", "member").alias("most"))
+
+
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """hub, member of pairs, without those probed before, either way round."""
+    named = pairs.select("hub", "member", F.least("hub", "member").alias("least"), F.greatest("hub", "member").alias("most"))
+    return (named if tried is None else named.join(tried, ["least", "most"], "left_anti")).select("hub", "member")
+
+
+def _release(spark) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     first = materialize(classes_and_counts(texts), "classes")
     rows = first.where("row = 0").select("doc_id", "cls", "n")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
     # one exchange brings the lists together; lists of one class go
-    lists = short_lists(texts, list_levels(first))
-    lists = lists.selectExpr("shingle", "cls", "n", "min(struct(cls, n)) OVER (PARTITION BY shingle) AS h", "max(cls) OVER (PARTITION BY shingle) AS high").where("h.cls < high")
-    lists = materialize(lists.select("shingle", "cls", "n", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n")), "lists")
-
+    lists = materialize(_open_lists(short_lists(texts, list_levels(first)).withColumn("comp", F.col("cls")), 0), "lists-0")
     fits = f"{DEN} * least(n, hub_n) >= {NUM} * greatest(n, hub_n)"
-    # a hub may be hidden behind a smaller one in some lists, so that c is too small here: what this misses, the next step finds
-    pairs = lists.where("cls <> hub").where(fits).groupBy("hub", "hub_n", F.col("cls").alias("member"), "n").agg(F.count("*").alias("c"))
-    pairs = materialize(pairs.where(_may_link("c", "n", "hub_n")).select("hub", "member"), "hub-pairs")
-    links = _links(texts, pairs, classes, "links")
-    labels = connected_components(links, "near")
-
-    # lists that still hold several components: count the shared short lists of all pairs across them
-    named = lists.join(labels, lists["cls"] == labels["node"], "left").select("shingle", "n", "cls", F.coalesce("component", "cls").alias("comp"))
-    named = named.selectExpr("*", "min(comp) OVER (PARTITION BY shingle) AS lo", "max(comp) OVER (PARTITION BY shingle) AS hi").where("lo < hi")
-    named = materialize(named.select("shingle", "n", "cls", "comp"), "open-lists")
+    labels, tried, started = None, None, 0
+    for turn in range(TURNS):
+        _release(spark)
+        # c is too small where a hub hides behind another one: what this misses, later turns and the last step find
+        pairs = lists.where("comp <> hub_comp").where(fits).groupBy("hub", "hub_n", F.col("cls").alias("member"), "n").agg(F.count("*").alias("c")).where(_may_link("c", "n", "hub_n"))
+        pairs = materialize(_untried(pairs, tried), f"hub-pairs-{turn}")
+        links = _links(texts, pairs, classes, f"links-{turn}")
+        tried = _ends(pairs) if tried is None else tried.unionAll(_ends(pairs))
+        found = links.count()
+        if found:
+            edges = links if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)
+            labels = connected_components(edges, f"near-{turn}")
+            named = lists.join(labels, lists["cls"] == labels["node"], "left").select("shingle", "n", "cls", F.coalesce("component", "cls").alias("comp"))
+            before, lists = lists, materialize(_open_lists(named, turn + 1), f"lists-{turn + 1}")
+            discard(before)
+        discard(links)
+        started = started or found
+        if found * 50 < started or not found:  # hardly any component grows any more
+            break
+    _release(spark)
+
+    # in lists that still hold several components, count the shared short lists of all pairs across them
+    named = lists.select("shingle", "n", "cls", "comp")
     groups = named.groupBy("shingle", "comp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     across = groups.alias("x").join(groups.alias("y"), F.expr(f"x.shingle = y.shingle AND x.comp < y.comp AND {DEN} * x.most_n >= {NUM} * y.least_n AND {DEN} * y.most_n >= {NUM} * x.least_n"))
     across = across.select(F.col("x.shingle").alias("shingle"), F.col("x.comp").alias("comp"), F.col("y.comp").alias("comp2"))
     side = across.join(named, ["shingle", "comp"]).select("shingle", "comp2", F.col("cls").alias("hub"), F.col("n").alias("hub_n"))
     both = side.join(named.withColumnRenamed("comp", "comp2"), ["shingle", "comp2"]).where(fits)
     shared = both.groupBy("hub", "hub_n", F.col("cls").alias("member"), "n").agg(F.count("*").alias("c")).where(_may_link("c", "n", "hub_n"))
-    shared = materialize(shared.select("hub", "member").join(pairs, ["hub", "member"], "left_anti"), "cross-pairs")
+    shared = materialize(_untried(shared, tried), "cross-pairs")
     more = _links(texts, shared, classes, "more-links")
-    # the first labels are links too: a node and its component
-    final = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "joined")
-    for done in (lists, pairs, named, shared, links):
-        discard(done)
+    # the labels are links too: a node and its component
+    edges = more if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
+    final = connected_components(edges, "joined")
+    discard(lists)
+    discard(shared)
     # the smallest id of each component, and of each class without links
     both = classes.join(final, classes["cls"] == final["node"], "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     least = both.groupBy("component").agg(F.min("rep").alias("component_id"))
