@@ -20,6 +20,7 @@ from .text import SPACE, decode, normal_ends
 MARK = "\x01"
 _SOLID = re.compile(f"[^{re.escape(SPACE)}]")
 _INK = re.compile(f"[^{re.escape(SPACE)}\n]")
+_IDENTIFIER = re.compile(r"\w")
 _BRACKETS = re.compile(r"[()\[\]{}]")
 _NUMBER = re.compile(r"[\w'.]+\Z")
 _WORD_END = re.compile(r"\w+\Z")
@@ -107,8 +108,9 @@ def scanner(language: Language) -> Scanner:
         blocks[b] = re.compile("|".join([*parts, f"(?P<close>{_at_start(b.close, b)})"]))
     branch = None
     if language.keywords:
+        # words are tested for a boundary before them afterwards: patterns that start with letters are searched fast
         words = sorted(language.keywords, key=len, reverse=True)
-        branch = re.compile("|".join(rf"\b{w}\b" if w.isalpha() else re.escape(w) for w in words))
+        branch = re.compile("|".join(rf"{w}\b" if w.isalpha() else re.escape(w) for w in words))
     token = re.compile("|".join(f"({p})" for _, _, p in found)) if found else None
     return Scanner(language, token, tuple((k, x) for k, x, _ in found), blocks, {q: re.compile(_body(q)) for q in language.quotes}, branch)
 
@@ -277,7 +279,7 @@ def count(text: str, language: Language | None, complexity: bool = True) -> Coun
     language = language or OTHER
     kinds, code = classify(text, language)
     branch = scanner(language).branch if complexity else None
-    total = None if branch is None else 1 + sum(1 for _ in branch.finditer(code))
+    total = None if branch is None else 1 + sum(1 for m in branch.finditer(code) if not (m[0].isalpha() and _IDENTIFIER.match(code, max(0, m.start() - 1), m.start())))
     n = len(kinds)
     comments, blanks = kinds.count("comment"), kinds.count("blank")
     return Counts(n - comments - blanks, comments, blanks, total)
