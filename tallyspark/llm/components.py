@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int =
     """node, component (the smallest node reachable) of every node of edges (a, b).
 
     Nodes may be of any orderable type.  Loops, repeated edges and both directions
-    are allowed, edges with a null end are ignored, and no edges give no rows.
+    are allowed, edges with a null end are ignored, and no edges give no rows.  With
+    fewer rounds than it takes, component is some smaller node that is reachable.
     """
     clean = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
     both = materialize(clean.unionAll(clean.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
@@ -36,7 +37,7 @@ def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int =
         up = new.select(F.col("node").alias("up"), F.col("new").alias("over"))
         jumped = new.join(up, new["new"] == up["up"], "left").select("node", "component", F.least("new", F.coalesce("over", "new")).alias("new"))
         jumped = materialize(jumped, f"{label}-{k}")
-        changed = jumped.where("new < component").limit(1).count()
+        changed = k < max_rounds and jumped.where("new < component").limit(1).count()
         discard(new)
         discard(labels)
         labels = jumped.select("node", F.col("new").alias("component"))

@@ -64,7 +64,7 @@ COUNT_CHUNK, COUNT_LEAST, LEVEL_LEAST = 2_000_000, 3, 6
 #: Members that one probe task holds beside a hub, about.
 CELL = 256
 #: Turns of hubs before pairs across components are counted, at most.
-TURNS = 6
+TURNS = 3
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -283,7 +283,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     # one exchange brings the lists together; lists of one class go
     lists = materialize(_open_lists(short_lists(texts, list_levels(first)).withColumn("comp", F.col("cls")), 0), "lists-0")
     fits = f"{DEN} * least(n, hub_n) >= {NUM} * greatest(n, hub_n)"
-    labels, tried, started = None, None, 0
+    every, tried, started = None, None, 0
     for turn in range(TURNS):
         _release(spark)
         # c is too small where a hub hides behind another one: what this misses, later turns and the last step find
@@ -293,12 +293,13 @@ def join_documents(docs: DataFrame) -> DataFrame:
         tried = _ends(pairs) if tried is None else tried.unionAll(_ends(pairs))
         found = links.count()
         if found:
-            edges = links if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links)
-            labels = connected_components(edges, f"near-{turn}")
+            every = links if every is None else every.unionAll(links)
+            # one round is enough here: equal labels are connected, and what it leaves apart costs probes only
+            labels = connected_components(every, f"near-{turn}", max_rounds=1)
             named = lists.join(labels, lists["cls"] == labels["node"], "left").select("shingle", "n", "cls", F.coalesce("component", "cls").alias("comp"))
             before, lists = lists, materialize(_open_lists(named, turn + 1), f"lists-{turn + 1}")
             discard(before)
-        discard(links)
+            discard(labels)
         started = started or found
         if found * 50 < started or not found:  # hardly any component grows any more
             break
@@ -314,9 +315,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     shared = both.groupBy("hub", "hub_n", F.col("cls").alias("member"), "n").agg(F.count("*").alias("c")).where(_may_link("c", "n", "hub_n"))
     shared = materialize(_untried(shared, tried), "cross-pairs")
     more = _links(texts, shared, classes, "more-links")
-    # the labels are links too: a node and its component
-    edges = more if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
-    final = connected_components(edges, "joined")
+    final = connected_components(more if every is None else every.unionAll(more), "joined")
     discard(lists)
     discard(shared)
     # the smallest id of each component, and of each class without links
