@@ -31,17 +31,23 @@ _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 @lru_cache(maxsize=4)
-def encoding(rank_file: str, pattern: str):
-    """The encoding of a rank file, built once in each worker."""
-    import tiktoken
-
+def load_ranks(rank_file: str) -> dict[bytes, int]:
+    """Token bytes and their ranks."""
     ranks = {}
     with open(rank_file, "rb") as lines:
         for line in lines:
             if line.strip():
                 token, rank = line.split()
                 ranks[base64.b64decode(token)] = int(rank)
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return ranks
+
+
+@lru_cache(maxsize=4)
+def encoding(rank_file: str, pattern: str):
+    """The encoding of a rank file, built once in each worker."""
+    import tiktoken
+
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=load_ranks(rank_file), special_tokens={})
 
 
 def safe_parts(text: str, size: int = LONG_TEXT) -> list[str]:

@@ -47,7 +47,7 @@ def op9_best_fit_packing(spark, sf_dir):
 
 
 def op10_lm_scoring(spark, sf_dir):
-    return lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 QUERIES = {

@@ -370,7 +370,7 @@ def test_language_model(spark):
     rng = random.Random(6)
     tongues = [["the", "of", "and", "thing", "they", "there"], ["der", "die", "das", "nicht", "und", "wir"]]
     data = [" ".join(rng.choice(tongues[i % 2]) for _ in range(rng.randint(1, 90))) for i in range(150)] + [None, "", " ", "unseen wordzz the", "the the"]
-    got = {r["doc_id"]: r for r in lm.score_documents(make(spark, data), WORDS).collect()}
+    got = {r["doc_id"]: r for r in lm.score_documents(make(spark, data), RANKS).collect()}
     counts: Counter = Counter()
     for i, t in enumerate(data):
         if zlib.crc32(str(i).encode()) % 7 != 2:
@@ -387,15 +387,15 @@ def test_language_model(spark):
             better.append(r["score"] > r["base_score"])
     assert sum(better) >= 0.9 * len(better) > 0
     empty = make(spark, data).limit(0)
-    assert lm.score_documents(empty, WORDS).count() == 0
-    only = lm.score_documents(make(spark, ["a b"], [next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)]), WORDS).first()
+    assert lm.score_documents(empty, RANKS).count() == 0
+    only = lm.score_documents(make(spark, ["a b"], [next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)]), RANKS).first()
     assert only["train_tokens"] == 0 and only["base_score"] == 0 and only["n_known"] == 0
 
 
 def test_cold_words_are_joined(spark, monkeypatch):
     monkeypatch.setattr(lm, "HOT_WORDS", 1)
     data = ["a b c", "a b d e", "a a x", "b"] * 5
-    got = lm.score_documents(make(spark, data), WORDS).collect()
+    got = lm.score_documents(make(spark, data), RANKS).collect()
     counts: Counter = Counter()
     for i, t in enumerate(data):
         if zlib.crc32(str(i).encode()) % 7 != 2:
