@@ -56,6 +56,32 @@ def _tokenizer(path: str):
     return t
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is visible, else the next one from U+0100."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
+
+
+_BYTE = _byte_letters()
+
+
+def _letters(word: bytes) -> str | None:
+    """What the steps before the model make of a word of Latin letters only, None for any other word.
+
+    Such a word is in normal form and one word to the splitting pattern, so only lower
+    case and the letters of its bytes are left to do.
+    """
+    if word.isalpha():
+        return word.decode().lower()
+    if word.isascii():
+        return None
+    text = word.decode("utf-8", "replace")
+    if not text.isalpha() or max(text) > "\u024f" or "\u0130" in text:  # the lower case of U+0130 holds a mark
+        return None
+    return "".join(_BYTE[b] for b in text.lower().encode())
+
+
 class WordIds:
     """Ids of texts, word by word.
 
@@ -83,10 +109,17 @@ class WordIds:
             self.words.clear()
             new = list(dict.fromkeys(w for words in cut for w in words))
         if new:
-            got = _tokenizer(self.path).encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, x in zip(new, got, strict=True):
-                ids = x.ids
-                self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+            t, odd = _tokenizer(self.path), []
+            model = t.model
+            for w in new:
+                plain = _letters(w)
+                if plain is None:
+                    odd.append(w)
+                else:
+                    ids = [x.id for x in model.tokenize(plain)]
+                    self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+            for w, x in zip(odd, t.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False), strict=True):
+                self.words[w] = struct.pack(f"<{len(x.ids)}I", *x.ids)
         words = self.words
         return [words[w[0]] if len(w) == 1 else words[w[0]] + words[w[1]] for w in cut]
 
