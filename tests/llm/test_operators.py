@@ -392,6 +392,35 @@ def test_language_model(spark):
     assert only["train_tokens"] == 0 and only["base_score"] == 0 and only["n_known"] == 0
 
 
+def test_model_learns_from_all_documents(spark, monkeypatch):
+    """More training documents than any sample of 3,000, each with a subword of its own: all get classes and are trained on."""
+    monkeypatch.setattr(lm, "PAGE_TOKENS", 1500)
+    pieces = sorted(k[1:] for k in bpe.load_ranks(RANKS) if re.fullmatch(rb" [a-z]{3,14}", k))[:4000]
+    model, _, words, distinct, ends = lm.fit(make(spark, [p.decode() for p in pieces]), RANKS)
+    ids = [lm.Reader(RANKS).subword(p) for p in pieces]
+    assert len(set(ids)) == 4000 == words == distinct == ends
+    assert (model.class_of[ids] < lm.CLASSES - 1).all()
+    assert model.trained == [words + ends] * lm.EPOCHS
+
+
+def test_passes_over_pages_lower_the_loss(spark):
+    """Words that repeat the one before the last, which bigrams of classes cannot tell: averaged pages learn it."""
+    rng = random.Random(3)
+    words = ["the", "of", "and", "to", "in", "for"]
+    data = []
+    for _ in range(600):
+        a = [rng.choice(words) for _ in range(2)]
+        while len(a) < 40:
+            a.append(a[-2] if rng.random() < 0.9 else rng.choice(words))
+        data.append(" ".join(a))
+    model = lm.fit(make(spark, data), RANKS)[0]
+    reader = lm.Reader(RANKS)
+    ids = [reader.first[x] for x in reader(data[:50])]
+    plain = lm.Attention(np.zeros((lm.CLASSES + 1, lm.CLASSES)))
+    plain.bigram, plain.w["out"] = model.attention.bigram, np.zeros_like(plain.w["out"])
+    assert model.score(ids).sum() > lm.Model(model.class_of, model.class_log, plain, []).score(ids).sum() + 1
+
+
 def test_cold_words_are_joined(spark, monkeypatch):
     monkeypatch.setattr(lm, "HOT_WORDS", 1)
     data = ["a b c", "a b d e", "a a x", "b"] * 5
