@@ -8,10 +8,15 @@ of a paragraph has two parts:
 
 * ``exact``: eight lanes modulo 2^60 from two SHA-256 of the paragraph; they
   decide equality;
-* ``like``: 120 counters from the MD5s of its sentences, four to a word, added
-  modulo 2^60.  Each sentence adds 0 or 1 to a counter, by one bit.  Centred on
-  half the number of sentences the counters are a tug-of-war sketch, and the
-  cosine of two sketches estimates how much two texts share.
+* ``like``: 120 counters from the MD5s of its sentences, each a long of its own.
+  Each sentence adds 0 or 1 to a counter, by one bit.  Centred on half the number
+  of sentences the counters are a tug-of-war sketch, and the cosine of two
+  sketches estimates how much two texts share.
+
+Sentences are counted four counters to a word, ``RUN`` sentences at a time, so that
+no counter carries into the next.  In its text form a fingerprint has the counters
+four to a word modulo 2^60, as in the SQL; above ``RUN`` sentences that form does not
+give the counters back, and likeness is taken from the counters, not from it.
 
 Null texts count as empty.  An empty text is one empty paragraph without
 sentences; two texts without sentences are alike (1), one with and one without
@@ -30,6 +35,8 @@ MODULUS_MASK = (1 << BITS) - 1
 #: One bit in every 15: four counters in a word.
 FIELDS = sum(1 << (15 * i) for i in range(4))
 SHIFTS = 15
+#: Most sentences that 15 bits count.
+RUN = (1 << 15) - 1
 #: Ends of sentences and paragraphs.
 SENTENCE_END = r"[.!?]+[ \n]+|\n+"
 #: Rows of a bucket in next_document(), and the most buckets.
@@ -40,6 +47,15 @@ def _sum(items: str) -> str:
     return f"aggregate({items}, 0L, (a, x) -> (a + x) & {MODULUS_MASK}L)"
 
 
+def _counters(hashes: str) -> str:
+    """SQL for 60 counters of the hashes: those of word j at 4 * j."""
+    packed = lambda run: f"transform(sequence(0, {SHIFTS - 1}), j -> aggregate({run}, 0L, (a, h) -> a + (shiftright(h, j) & {FIELDS}L)))"
+    single = lambda run: f"flatten(transform({packed(run)}, x -> transform(array(0, 15, 30, 45), b -> shiftright(x, b) & {RUN}L)))"
+    runs = f"transform(sequence(1, (size({hashes}) - 1) div {RUN}), i -> slice({hashes}, cast(i * {RUN} + 1 AS int), {RUN}))"
+    more = f"aggregate({runs}, {single(f'slice({hashes}, 1, {RUN})')}, (total, run) -> zip_with(total, {single('run')}, (x, y) -> x + y))"
+    return f"if(size({hashes}) <= {RUN}, {single(hashes)}, {more})"
+
+
 def fingerprint_sql(text: str) -> str:
     """SQL for struct<n, m, exact array<long>, like array<long>> of the text expression."""
     word = lambda h, at: f"cast(conv(substring({h}, {at}, 15), 16, 10) AS bigint)"
@@ -51,8 +67,7 @@ def fingerprint_sql(text: str) -> str:
           'n', cast(size(c2.ps) AS bigint),
           'm', cast(size(c2.h1) AS bigint),
           'exact', transform(sequence(0, {EXACT_LANES - 1}), j -> {_sum(f"transform(c2.ps, h -> {word('h', f'j * 16 + 1')})")}),
-          'like', concat(transform(sequence(0, {SHIFTS - 1}), j -> aggregate(c2.h1, 0L, (a, h) -> (a + (shiftright(h, j) & {FIELDS}L)) & {MODULUS_MASK}L)),
-                         transform(sequence(0, {SHIFTS - 1}), j -> aggregate(c2.h2, 0L, (a, h) -> (a + (shiftright(h, j) & {FIELDS}L)) & {MODULUS_MASK}L)))
+          'like', concat({_counters('c2.h1')}, {_counters('c2.h2')})
         ))[0])[0]"""
 
 
@@ -60,15 +75,18 @@ def combine_sql(a: str, b: str, sign: int = 1) -> str:
     """The fingerprint of the paragraphs of a with those of b added (sign 1) or taken away (-1)."""
     op = "+" if sign > 0 else "-"
     lanes = lambda f: f"zip_with({a}.{f}, {b}.{f}, (x, y) -> (x {op} y) & {MODULUS_MASK}L)"
-    return f"named_struct('n', {a}.n {op} {b}.n, 'm', {a}.m {op} {b}.m, 'exact', {lanes('exact')}, 'like', {lanes('like')})"
+    counters = f"zip_with({a}.like, {b}.like, (x, y) -> x {op} y)"
+    return f"named_struct('n', {a}.n {op} {b}.n, 'm', {a}.m {op} {b}.m, 'exact', {lanes('exact')}, 'like', {counters})"
 
 
 def text_sql(fp: str) -> str:
-    return f"concat({fp}.n, ':', {fp}.m, ':', array_join(transform(concat({fp}.exact, {fp}.like), x -> lower(hex(x))), '.'))"
+    at = lambda k: f"shiftleft({fp}.like[4 * j + {k}], {15 * k})"
+    words = f"transform(sequence(0, {2 * SHIFTS - 1}), j -> ({' + '.join(map(at, range(4)))}) & {MODULUS_MASK}L)"
+    return f"concat({fp}.n, ':', {fp}.m, ':', array_join(transform(concat({fp}.exact, {words}), x -> lower(hex(x))), '.'))"
 
 
 def _centred(fp: str) -> str:
-    return f"flatten(transform({fp}.like, x -> transform(array(0, 15, 30, 45), b -> 2 * (shiftright(x, b) & 32767L) - {fp}.m)))"
+    return f"transform({fp}.like, x -> 2 * x - {fp}.m)"
 
 
 def likeness_sql(a: str, b: str) -> str:

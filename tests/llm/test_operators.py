@@ -259,6 +259,30 @@ def test_multiset_hash(spark, texts, monkeypatch):
     assert len(odd) == 4
 
 
+def test_multiset_hash_counts_beyond_15_bits(spark):
+    """Likeness of texts with more sentences than a packed counter holds, against counts in plain integers."""
+
+    def sketch(t):
+        ss = [x for x in re.split(multiset_hash.SENTENCE_END, t) if x]
+        hs = [hashlib.md5(x.encode()).hexdigest() for x in ss]
+        bits = [[int(h[at : at + 15], 16) >> (15 * b + j) & 1 for at in (0, 16) for j in range(15) for b in range(4)] for h in hs]
+        return 2 * np.array(bits).sum(0) - len(ss), len(ss), hs
+
+    texts = ["a\n" * 40_000, "b\n" * 40_000, "a\n" * 40_000 + "c\n" * 10, "".join(f"s{i}\n" for i in range(66_000)), "".join(f"t{i}\n" for i in range(66_000))]
+    got = {r["doc_id"]: r for r in multiset_hash.fingerprint_documents(make(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        (u, m, hs), (v, _, _) = sketch(t), sketch(texts[i - 1])
+        assert math.isclose(got[i]["near_next"], max(0.0, min(1.0, float(u @ v) / math.sqrt(float(u @ u) * float(v @ v)))), abs_tol=2e-6)
+        words = [sum(int(h[at : at + 15], 16) >> j & multiset_hash.FIELDS for h in hs) % (1 << 60) for at in (0, 16) for j in range(15)]
+        n, m_, lanes = got[i]["fingerprint"].split(":")
+        assert int(m_) == m and [int(x, 16) for x in lanes.split(".")[8:]] == words
+    assert got[1]["near_next"] < 0.5 and got[4]["near_next"] < 0.5 and got[2]["near_next"] < 0.5
+    fp = lambda c: F.expr(multiset_hash.fingerprint_sql(c))
+    df = spark.createDataFrame([(texts[0], "c\n" * 10 + "c", texts[0] + "c\n" * 10 + "c")], "a string, b string, ab string").select(fp("a").alias("a"), fp("b").alias("b"), fp("ab").alias("ab"))
+    r = df.select(F.expr(multiset_hash.combine_sql("a", "b")).alias("s"), F.expr(multiset_hash.combine_sql("ab", "b", -1)).alias("d"), "a", "ab").first()
+    assert r["s"]["like"] == r["ab"]["like"] and r["d"]["like"] == r["a"]["like"]
+
+
 # --- n-gram join -----------------------------------------------------------------------------
 def _plain_join(texts):
     sets = []
