@@ -161,6 +161,23 @@ def test_url_filter(spark):
     assert url_filter.judge(df).count() == len(pages) and url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_filter_resolves_targets(spark):
+    refresh = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    cases = [
+        ("http://h.fr/d/p?q=1", refresh("next.html"), "h.fr/d/next.html"), ("http://h.fr/d/e/p", link("../x"), "h.fr/d/x"), ("http://h.fr/d/p?q=1#f", link("?id=1"), "h.fr/d/p?id=1"),
+        ("http://h.fr", link("x"), "h.fr/x"), ("http://h.fr/d/p", link("./../../../y/."), "h.fr/y/"), ("http://h.fr/d/p", link("/a/../b"), "h.fr/b"), ("https://h.fr/d/p", link("//G.fr/a?u=http://k.fr/"), "g.fr/a?u=http://k.fr/"),
+        ("http://h.fr/d/p", link("/go?u=http://k.fr/"), "h.fr/go?u=http://k.fr/"), ("http://h.fr/d/p", link("/a?x=1&amp;y=2"), "h.fr/a?x=1&y=2"), ("http://h.fr/d/p", refresh("/a?x=1&amp;y=2"), "h.fr/a?x=1&y=2"),
+        ("http://h.fr/d/p", link("/&#97;&#x62;&eacute;&#8364;&copy=1&ampx&amp"), "h.fr/abé€&copy=1&ampx&"), ("http://h.fr/d/p", '<base href="http://m.fr/k/l">' + link("n"), "m.fr/k/n"), ("http://h.fr/d/p", '<base href="/k/">' + link("n"), "h.fr/k/n"),
+        ("http://h.fr/d/p?q=1", '<base href="http://m.fr/k?z#y">' + link("#top"), "m.fr/k?z"), ("http://h.fr/d/p", link("mailto:a@b.fr"), None), ("http://h.fr/d/p", link("#top"), None),
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(cases)], "page_id long, url string, html string")
+    assert sorted(r["b"] for r in url_filter.alias_edges(df).collect()) == sorted(want for _, _, want in cases if want)
+    pages = [(1, "http://a.com/en/x", ""), (2, "http://a.com/fr/x", refresh("../en/x")), (3, "http://b.fr/x", link("http://a.com/fr/./x"))]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "block", 3: "block"}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(100, 160)] + [(0, k) for k in range(1, 50)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(5, 5), (None, 3)]
