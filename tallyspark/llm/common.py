@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that carries whole texts; keeps a batch of long texts small.
+#: Rows whose texts are Python objects at the same time.  Arrow batches themselves are bounded in bytes by Spark
+#: (spark.sql.execution.arrow.maxBytesPerBatch).
 TEXT_BATCH_ROWS = 512
 
 
@@ -21,15 +22,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Where it is unset (tests on one machine) a temporary folder takes its place.
+    Where it is unset and the master is local (tests on one machine) a temporary folder
+    takes its place; on a cluster that is an error, as executors would not see it.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tallyspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if spark.sparkContext.applicationId not in _LOCAL:
+            _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tallyspark-")
+        found = _LOCAL[spark.sparkContext.applicationId]
     return found.rstrip("/")
 
 
+#: Folders of local sessions without spark.checkpoint.dir.
+_LOCAL: dict[str, str] = {}
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
@@ -52,29 +61,40 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Python stages over whole texts get batches of few rows."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most that many; nothing is copied."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow where fn turns one batch into the columns of schema, in order."""
+    """mapInArrow where fn turns one batch of at most TEXT_BATCH_ROWS rows into the columns of schema, in order."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    small_batches(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cols = fn(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
+        for batch in slices(batches):
+            cols = fn(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def text_filter(docs: DataFrame, good: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """docs, all its columns, with the rows whose texts good accepts; asked for TEXT_BATCH_ROWS texts at once."""
+    import pandas as pd
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    @pandas_udf("boolean")
+    def ask(texts):
+        return pd.Series([ok for at in range(0, len(texts), TEXT_BATCH_ROWS) for ok in good(texts.iloc[at : at + TEXT_BATCH_ROWS].tolist())], dtype=bool)
+
+    return docs.where(ask(docs["text"]))
+
+
 def crc_mod(column: str, mod: int):
     """crc32 of an id as text, modulo mod: the fold rule of the labelled tables."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod

@@ -8,7 +8,9 @@ probabilities, which selection compares with a cut.
 
 Grades come from ``labels``: 0 for quality 0; quality 1 is graded 1 if it is
 marked toxic and 2 if not.  Training uses at most ``max_train`` labelled rows (the
-first by a hash of the id) outside the held-out fold; every row is scored.
+first by a hash of the id) outside the held-out fold; every row is scored.  Their
+features are a table; the likelihood is maximized by L-BFGS, whose every step sums
+the gradients of the tasks, so the driver holds vectors of fixed size only.
 
 Null texts count as empty; an empty text has no features and gets the grade of
 the thresholds alone.  Labels that are null or without a document are left out;
@@ -24,16 +26,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches, small_batches
+from .common import crc_mod, discard, map_batches, materialize, slices, text_filter
 from .toxicity import MAX_TRAIN, training_rows
 
 #: Hashed dimensions of each block: words, shapes.
 WORD_DIMS, SHAPE_DIMS = 1 << 15, 1 << 10
 EXTRA = 4
 DIMS = WORD_DIMS + SHAPE_DIMS + EXTRA
+#: Tasks of a gradient, most gradients of a fit, remembered steps, penalty of the weights.
+TASKS, EVALUATIONS, MEMORY, L2 = 8, 40, 8, 1e-4
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
@@ -81,37 +86,90 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - float(self.weights[at] @ value), -40, 40)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int, epochs: int = 300, rate: float = 0.5, l2: float = 1e-5) -> Model:
-    """Maximum likelihood by AdaGrad on all rows at once; thresholds are kept in order."""
-    shares = [(np.sum(grades > k) + 0.5) / (len(grades) + 1) for k in range(top)]
-    theta = -np.log(np.array(shares) / (1 - np.array(shares)))
-    weights = np.zeros(DIMS)
-    if len(set(grades.tolist())) < 2:
-        return Model(weights, np.maximum.accumulate(theta))
-    at = np.concatenate([r[0] for r in rows]).astype(int)
-    value = np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    sw, st = np.full(DIMS, 1e-8), np.full(top, 1e-8)
-    n = len(rows)
-    for _ in range(epochs):
-        z = np.bincount(row, value * weights[at], n)
-        # likelihood of grade g: s(z - theta_{g-1}) - s(z - theta_g), with s = 1 below the first and 0 above the last
-        low = np.concatenate([[-np.inf], theta])[grades]
-        high = np.concatenate([theta, [np.inf]])[grades]
-        a = 1 / (1 + np.exp(np.clip(low - z, -40, 40)))
-        b = 1 / (1 + np.exp(np.clip(high - z, -40, 40)))
-        b[grades == top] = 0
-        a[grades == 0] = 1
-        p = np.maximum(a - b, 1e-12)
-        da, db = a * (1 - a) / p, b * (1 - b) / p
-        gz = -(da - db) / n
-        g = np.bincount(at, value * gz[row], DIMS) + l2 * weights
-        gt = np.array([(da[grades == k + 1].sum() - db[grades == k].sum()) / n for k in range(top)])
-        sw += g * g
-        st += gt * gt
-        weights -= rate * g / np.sqrt(sw)
-        theta = np.maximum.accumulate(theta - rate * 0.3 * gt / np.sqrt(st))
-    return Model(weights, theta)
+def loss_and_gradient(weights: np.ndarray, theta: np.ndarray, at: np.ndarray, value: np.ndarray, row: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray]:
+    """Negative log likelihood of the rows, and its gradient by weights and thresholds; entry i of the rows belongs to row[i]."""
+    top = len(theta)
+    z = np.bincount(row, value * weights[at], len(grades))
+    # likelihood of grade g: s(z - theta_{g-1}) - s(z - theta_g), with s = 1 below the first and 0 above the last
+    low = np.concatenate([[-np.inf], theta])[grades]
+    high = np.concatenate([theta, [np.inf]])[grades]
+    a = 1 / (1 + np.exp(np.clip(low - z, -40, 40)))
+    b = 1 / (1 + np.exp(np.clip(high - z, -40, 40)))
+    b[grades == top] = 0
+    a[grades == 0] = 1
+    p = np.maximum(a - b, 1e-12)
+    da, db = a * (1 - a) / p, b * (1 - b) / p
+    by_weight = np.bincount(at, value * (db - da)[row], len(weights))
+    by_theta = [da[grades == k + 1].sum() - db[grades == k].sum() for k in range(top)]
+    return float(-np.log(p).sum()), np.concatenate([by_weight, by_theta])
+
+
+def minimize(evaluate, start: np.ndarray, most: int = EVALUATIONS, tolerance: float = 1e-5) -> np.ndarray:
+    """L-BFGS with halved steps; evaluate(x) gives (value, gradient) and is called ``most`` times at most."""
+    x, (f, g) = start, evaluate(start)
+    calls, steps = 1, []
+    while calls < most and np.abs(g).max() > 1e-7:
+        d, kept = g.copy(), []
+        for s, y in reversed(steps):
+            kept.append(s @ d / (s @ y))
+            d -= kept[-1] * y
+        if steps:
+            d *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1])
+        for (s, y), k in zip(steps, reversed(kept), strict=True):
+            d += (k - y @ d / (s @ y)) * s
+        size = 1.0 if steps else 1 / max(1e-12, np.linalg.norm(g))
+        slope = g @ d
+        while calls < most:
+            new = x - size * d
+            f2, g2 = evaluate(new)
+            calls += 1
+            if f2 <= f - 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            return x
+        s, y = new - x, g2 - g
+        if s @ y > 1e-12:
+            steps = [*steps, (s, y)][-MEMORY:]
+        done = f - f2 < tolerance * max(1e-3, abs(f))
+        x, f, g = new, f2, g2
+        if done and len(steps) > 1:
+            return x
+    return x
+
+
+def fit_ordinal(features: DataFrame, top: int) -> Model:
+    """Maximum likelihood over the rows (at, value, grade) of features."""
+    counts = {r["grade"]: r["n"] for r in features.groupBy("grade").agg(F.count("*").alias("n")).collect()}  # top + 1 rows
+    n = sum(counts.values())
+    above = np.array([sum(c for g, c in counts.items() if g > k) for k in range(top)])
+    shares = (above + 0.5) / (n + 1)
+    theta = np.maximum.accumulate(-np.log(shares / (1 - shares)))
+    if len(counts) < 2:
+        return Model(np.zeros(DIMS), theta)
+    table = features.coalesce(TASKS)
+
+    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
+        if (np.diff(x[DIMS:]) < 0).any():  # thresholds out of order are no model
+            return np.inf, np.zeros(len(x))
+        sent = features.sparkSession.sparkContext.broadcast(x)
+
+        def run(batches):
+            loss, total = 0.0, np.zeros(DIMS + top)
+            for batch in slices(batches):
+                size = np.diff(batch.column(0).offsets.to_numpy())
+                part, g = loss_and_gradient(sent.value[:DIMS], sent.value[DIMS:], batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), np.repeat(np.arange(len(size)), size), batch.column(2).to_numpy())
+                loss, total = loss + part, total + g
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([loss]), pa.array([total.tobytes()], pa.binary())], ["part", "loss", "gradient"])
+
+        got = sorted(table.mapInArrow(run, "part int, loss double, gradient binary").collect(), key=lambda r: r["part"])  # TASKS rows at most
+        sent.destroy()
+        w = x[:DIMS]
+        total = sum(np.frombuffer(r["gradient"]) for r in got) / n
+        return sum(r["loss"] for r in got) / n + L2 / 2 * float(w @ w), total + np.concatenate([L2 * w, np.zeros(top)])
+
+    best = minimize(evaluate, np.concatenate([np.zeros(DIMS), theta]))
+    return Model(best[:DIMS], best[DIMS:])
 
 
 def fit(docs: DataFrame, ratings: DataFrame, top: int, fold: int = 5, max_train: int = MAX_TRAIN) -> Model:
@@ -121,12 +179,12 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, fold: int = 5, max_train:
 
     def run(batch: pa.RecordBatch) -> dict:
         got = [hasher(t) for t in batch.column(0).to_pylist()]
-        return {"at": [x[0].astype("i4") for x in got], "value": [x[1].astype("f4") for x in got], "grade": batch.column(1), "doc_id": batch.column(2)}
+        return {"at": [x[0].astype("i4") for x in got], "value": [x[1].astype("f4") for x in got], "grade": np.clip(batch.column(1).to_numpy(), 0, top)}
 
-    table = map_batches(rows.select("text", "label", "doc_id"), run, "at array<int>, value array<float>, grade int, doc_id long").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
-    ats, values, grades = (table.column(c).combine_chunks() for c in ("at", "value", "grade"))
-    pairs = [(ats[i].values.to_numpy(), values[i].values.to_numpy().astype(float)) for i in range(len(table))]
-    return fit_ordinal(pairs, np.clip(grades.to_numpy(), 0, top).astype(int), top)
+    features = materialize(map_batches(rows.select("text", "label"), run, "at array<int>, value array<float>, grade int"), "quality")
+    model = fit_ordinal(features, top)
+    discard(features)
+    return model
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -149,15 +207,6 @@ def score_documents(docs: DataFrame, model: Model, cut: float = 0.5, fold: int =
 
 def keep_good(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
     """docs, all its columns, with the rows whose P(grade > 0) reaches cut."""
-    import pandas as pd
-    from pyspark.sql.pandas.functions import pandas_udf
-
     sent = docs.sparkSession.sparkContext.broadcast(model)
     hasher = Hasher()
-
-    @pandas_udf("boolean")
-    def good(texts):
-        return pd.Series([bool(sent.value.tails(*hasher(t or ""))[0] >= cut) for t in texts])
-
-    small_batches(docs.sparkSession)
-    return docs.where(good(docs["text"]))
+    return text_filter(docs, lambda texts: [bool(sent.value.tails(*hasher(t or ""))[0] >= cut) for t in texts])

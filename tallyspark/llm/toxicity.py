@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_batches
+from .common import crc_mod, map_batches, text_filter
 
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_TRAIN = 20_000
@@ -198,7 +198,7 @@ class Trees:
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators; knots and calibrated values, between 0 and 1."""
+    """Pool adjacent violators; the middle of every block and its share of labels 1, between 0 and 1.  Between them values are interpolated."""
     order = np.argsort(raw, kind="stable")
     blocks: list[list[float]] = []
     for x, v in zip(raw[order], y[order], strict=True):
@@ -208,11 +208,8 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             blocks[-1][0] += s
             blocks[-1][1] += n
             blocks[-1][3] = hi
-    xs, ys = [], []
-    for s, n, lo, hi in blocks:
-        p = (s + 0.05) / (n + 0.1)
-        xs += [lo, hi]
-        ys += [p, p]
+    xs = [(lo + hi) / 2 for _, _, lo, hi in blocks]
+    ys = [(s + 0.05) / (n + 0.1) for s, n, _, _ in blocks]
     return np.array(xs), np.maximum.accumulate(np.array(ys))
 
 
@@ -226,27 +223,26 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
             return np.full(len(x), self.share)
-        raw = self.trees.raw(x)
-        if self.knots is None:
-            return 1 / (1 + np.exp(-raw))
-        # a little of the uncalibrated score keeps the order inside flat steps
-        return np.clip(0.98 * np.interp(raw, *self.knots) + 0.02 / (1 + np.exp(-raw)), 0.0, 1.0)
+        return np.interp(self.trees.raw(x), *self.knots)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: int, max_train: int) -> DataFrame:
-    """doc_id, text, label, part (0..9) of at most max_train labelled rows outside the held-out fold.
+    """doc_id, text, label, part (0..9) of at most max_train labelled documents outside the held-out fold.
 
-    The rows are chosen before the join, so what is broadcast is bounded by max_train.
-    A document labelled twice counts once, with its larger label.
+    The documents are chosen before the join, so what is broadcast is bounded by
+    max_train; labels without a document do not count.  A document labelled twice has
+    its larger label, and of repeated ids the least text.
     """
+    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"))
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (crc_mod("doc_id", fold) != 0))
-        .groupBy("doc_id").agg(F.max("label").alias("label"))
+        .groupBy("doc_id").agg(F.max("label").alias("label")).join(ids, "doc_id", "left_semi")
         .orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(max_train)
     )
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(10)).cast("int"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return rows.withColumn("part", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(10)).cast("int"))
 
 
 def learn_lexicon(rows: DataFrame, max_entries: int = MAX_LEXICON) -> dict[str, float]:
@@ -295,8 +291,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 5,
         return Model(lexicon, None, None, share)
     trees = Trees().fit(x[part < 8], y[part < 8])
     held = part >= 8
-    knots = isotonic(trees.raw(x[held]), y[held]) if held.sum() >= 200 and len(set(y[held])) == 2 else None
-    return Model(lexicon, trees, knots, share)
+    if len(set(y[held])) < 2:  # hardly any labels: the rows of the trees calibrate as well
+        held[:] = True
+    return Model(lexicon, trees, isotonic(trees.raw(x[held]), y[held]), share)
 
 
 def score_documents(docs: DataFrame, model: Model, fold: int = 5) -> DataFrame:
@@ -318,19 +315,11 @@ def score_documents(docs: DataFrame, model: Model, fold: int = 5) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """docs, all its columns, without the rows that score 0.5 or more."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    from pyspark.sql.pandas.functions import pandas_udf
-
     cache: dict = {}
 
-    @pandas_udf("boolean")
-    def clean(texts):
+    def clean(texts: list[str | None]) -> list[bool]:
         if "scorer" not in cache:
             cache["scorer"] = Scorer(sent.value.lexicon)
-        import pandas as pd
-
-        return pd.Series(sent.value.score(np.array([cache["scorer"].features(t or "") for t in texts])) < 0.5)
-
-    from .common import small_batches
+        return (sent.value.score(np.array([cache["scorer"].features(t or "") for t in texts])) < 0.5).tolist()
 
-    small_batches(docs.sparkSession)
-    return docs.where(clean(docs["text"]))
+    return text_filter(docs, clean)
