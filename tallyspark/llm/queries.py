@@ -73,4 +73,5 @@ ORACLES: dict[str, str] = {
     "op4_url_filter": url_filter.oracle(),
     "op6_secret_scans": secrets.oracle(),
     "op7_multiset_hash": multiset_hash.oracle(),
+    "op8_ngram_join": ngram_join.oracle(),
 }
