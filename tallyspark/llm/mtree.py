@@ -17,11 +17,12 @@ Each query first searches one shard of its own cell, which gives a bound that mo
 other cells are then held against; the shards that remain are searched in blocks of
 queries, and the results are merged by rank.
 
-Of equal vectors only the k + 1 with the smallest ids are indexed: ties go to the
-smaller id, so the others can never be among the k results of any query.
+Of equal vectors only those with the k + 1 smallest ids are indexed, k rows of each:
+ties go to the smaller id, so the others can never be among the k results of any query.
 
-Vectors that are null, or hold null or non-finite components, take no part.
-Components are clipped to +-2^27 after scaling, so that sums fit 64 bits.  Vectors of
+Vectors that are null, or hold null or non-finite components, take no part.  Scores are
+exact as long as they fit a long, which is their type; scaled components are taken up to
++-2^62, beyond which no score of the vector with itself would.  Vectors of
 unequal length are compared as if zeros followed the shorter one.  Repeated vec_ids
 are different candidates for others but not for a query of the same id, and such a
 query runs once for each different vector.  A null vec_id takes no part.
@@ -38,27 +39,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 SCALE = 1024
-CLIP = float(1 << 27)
-PIVOTS, CELL_ROWS, SHARD = 256, 4096, 4096
+#: Scaled components beyond this do not fit a score.
+REACH = float(1 << 62)
+#: Pivots at most, rows of a cell for each pivot, rows of a shard.
+PIVOTS, CELL_ROWS, SHARD = 2048, 2048, 2048
 LEAF, FANOUT = 64, 24
 #: Queries searched in one shard at once.
-BLOCK = 256
-PAGE = "page int, leaf boolean, ids array<long>, radius array<double>, parent array<double>, vectors array<double>"
+BLOCK = 4096
+PAGE = "page int, leaf boolean, ids array<long>, radius array<double>, parent array<double>, vectors array<double>, whole array<long>"
 
 
 def scaled(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
     """vec_id, v array<long>, norm2: the vectors that take part, as integers."""
     cols = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("x")).where("vec_id IS NOT NULL AND x IS NOT NULL")
     finite = "forall(x, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('Infinity'))"
-    whole = f"transform(x, c -> cast(greatest({-CLIP}D, least({CLIP}D, floor(c * {scale}D))) AS bigint))"
+    whole = f"transform(x, c -> cast(floor(greatest({-REACH}D, least({REACH}D, c * {scale}D))) AS bigint))"
     return cols.where(finite).select("vec_id", F.expr(whole).alias("v")).withColumn("norm2", F.expr("aggregate(v, 0D, (a, c) -> a + cast(c AS double) * c)"))
 
 
-def _matrix(column, dim: int) -> np.ndarray:
-    out = np.zeros((len(column), dim), dtype=np.float64)
+def _matrix(column, dim: int, kind=np.float64) -> np.ndarray:
+    out = np.zeros((len(column), dim), dtype=kind)
     for i, v in enumerate(column):
         out[i, : len(v)] = v
     return out
@@ -69,8 +72,8 @@ def lift(x: np.ndarray, top2: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(0.0, top2 - (x * x).sum(1)))[:, None]], 1)
 
 
-def build(ids: np.ndarray, objects: np.ndarray, seed: int = 3) -> list[tuple]:
-    """Pages of an M-tree over lifted objects: (page, leaf, ids or child pages, radii, parent distances, objects)."""
+def build(ids: np.ndarray, objects: np.ndarray, whole: np.ndarray, seed: int = 3) -> list[tuple]:
+    """Pages of an M-tree over lifted objects: (page, leaf, ids or child pages, radii, parent distances, objects, integer vectors of leaves)."""
     rng = np.random.default_rng(seed)
     pages: list[tuple] = []
 
@@ -79,7 +82,7 @@ def build(ids: np.ndarray, objects: np.ndarray, seed: int = 3) -> list[tuple]:
         pages.append(())
         dist = np.linalg.norm(objects[rows] - centre, axis=1) if centre is not None else np.zeros(len(rows))
         if len(rows) <= LEAF:
-            pages[page] = (page, True, ids[rows], np.zeros(len(rows)), dist, objects[rows])
+            pages[page] = (page, True, ids[rows], np.zeros(len(rows)), dist, objects[rows], whole[rows])
             return page
         chosen = rng.choice(len(rows), min(FANOUT, -(-len(rows) // LEAF) + 1), replace=False)
         routing = objects[rows[chosen]]
@@ -95,7 +98,7 @@ def build(ids: np.ndarray, objects: np.ndarray, seed: int = 3) -> list[tuple]:
                 radius.append(to[own, k].max())
                 parent.append(np.linalg.norm(routing[k] - centre) if centre is not None else 0.0)
                 kept.append(routing[k])
-        pages[page] = (page, False, np.array(children), np.array(radius), np.array(parent), np.array(kept))
+        pages[page] = (page, False, np.array(children), np.array(radius), np.array(parent), np.array(kept), whole[:0])
         return page
 
     if len(ids):
@@ -103,20 +106,22 @@ def build(ids: np.ndarray, objects: np.ndarray, seed: int = 3) -> list[tuple]:
     return pages
 
 
-def search(pages: dict[int, tuple], q: np.ndarray, own: int, k: int, top2: float, floor_score: float) -> list[tuple[int, int]]:
-    """Up to k (score, vec_id), best first, of at least floor_score; own is the query's id.
+def search(pages: dict[int, tuple], v: np.ndarray, own: int, k: int, top2: float, floor_score: int | None) -> list[tuple[int, int]]:
+    """Up to k (score, vec_id), best first, of at least floor_score; v and own are the query's integers and id.
 
-    pages: page -> (leaf, ids, radius, parent distance, objects).
+    pages: page -> (leaf, ids, radius, parent distance, objects, integer vectors).
     """
+    q = v.astype(np.float64)
     lifted = np.append(q, 0.0)
     qq = float(q @ q)
+    lowest = np.iinfo(np.int64).min if floor_score is None else floor_score
     best: list[tuple[int, int]] = []  # a heap whose first is the worst: (score, -id)
-    slack = 1e-7 * (np.sqrt(qq + top2) + 1)
+    slack = 1e-6 * (np.sqrt(qq + top2) + 1)
 
     def reach() -> float:
         """Objects beyond this distance score less than what is asked for."""
-        least = max(floor_score, best[0][0] if len(best) == k else -np.inf)
-        return np.inf if least == -np.inf else float(np.sqrt(max(0.0, qq + top2 - 2 * least))) + slack
+        least = max(lowest, best[0][0]) if len(best) == k else floor_score
+        return np.inf if least is None else float(np.sqrt(max(0.0, qq + top2 - 2 * least))) + slack
 
     queue: list[tuple[float, int, float]] = [(0.0, 0, np.nan)]
     while queue:
@@ -124,16 +129,15 @@ def search(pages: dict[int, tuple], q: np.ndarray, own: int, k: int, top2: float
         limit = reach()
         if bound > limit:
             break
-        leaf, ids, radius, parent, objects = pages[page]
+        leaf, ids, radius, parent, objects, whole = pages[page]
         some = np.arange(len(ids))
         if to_parent == to_parent:
             some = some[np.abs(to_parent - parent) - radius <= limit]
         if not len(some):
             continue
         if leaf:
-            score = np.rint(objects[some, :-1]).astype(np.int64) @ q.astype(np.int64)
-            worst = best[0][0] if len(best) == k else -np.inf
-            at = np.flatnonzero(score >= max(worst, floor_score))
+            score = whole[some] @ v  # modulo 2^64, so exact if the sum fits
+            at = np.flatnonzero(score >= (max(lowest, best[0][0]) if len(best) == k else lowest))
             for s, i in zip(score[at].tolist(), ids[some[at]].tolist(), strict=True):
                 if i == own:
                     continue
@@ -151,8 +155,8 @@ def search(pages: dict[int, tuple], q: np.ndarray, own: int, k: int, top2: float
 
 def _pages(frame: pd.DataFrame, dim: int) -> dict[int, tuple]:
     return {
-        int(p): (bool(leaf), np.asarray(ids, dtype=np.int64), np.asarray(r), np.asarray(d), np.asarray(v).reshape(-1, dim))
-        for p, leaf, ids, r, d, v in zip(frame["page"], frame["leaf"], frame["ids"], frame["radius"], frame["parent"], frame["vectors"], strict=True)
+        int(p): (bool(leaf), np.asarray(ids, dtype=np.int64), np.asarray(r), np.asarray(d), np.asarray(v).reshape(-1, dim), np.asarray(w, dtype=np.int64).reshape(-1, dim - 1))
+        for p, leaf, ids, r, d, v, w in zip(*(frame[c] for c in ("page", "leaf", "ids", "radius", "parent", "vectors", "whole")), strict=True)
     }
 
 
@@ -163,9 +167,10 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id",
     got = rows.agg(F.count("*").alias("n"), F.max("norm2").alias("top2"), F.max(F.size("v")).alias("dim")).first()
     n, top2, dim = got["n"], float(got["top2"] or 0.0), int(got["dim"] or 0)
     wide = dim + 1
-    # equal vectors: the k + 1 smallest ids, first within salted parts
-    objects = rows.selectExpr("vec_id", "v", "row_number() OVER (PARTITION BY v, pmod(xxhash64(vec_id), 64) ORDER BY vec_id) AS r").where(f"r <= {k + 1}")
-    objects = objects.selectExpr("vec_id", "v", "row_number() OVER (PARTITION BY v ORDER BY vec_id) AS r").where(f"r <= {k + 1}").select("vec_id", "v")
+    # equal vectors: k rows of each id and the k + 1 smallest ids, first within salted parts
+    objects = rows.selectExpr("vec_id", "v", "row_number() OVER (PARTITION BY v, vec_id ORDER BY vec_id) AS r").where(f"r <= {k}")
+    objects = objects.selectExpr("vec_id", "v", "dense_rank() OVER (PARTITION BY v, pmod(xxhash64(vec_id), 64) ORDER BY vec_id) AS r").where(f"r <= {k + 1}")
+    objects = objects.selectExpr("vec_id", "v", "dense_rank() OVER (PARTITION BY v ORDER BY vec_id) AS r").where(f"r <= {k + 1}").select("vec_id", "v")
     pivots = objects.orderBy(F.xxhash64(F.lit(13), "vec_id"), "vec_id").limit(max(1, min(PIVOTS, n // CELL_ROWS))).select("v").toArrow().column("v").to_pylist()
     centre = spark.sparkContext.broadcast(lift(_matrix(pivots, dim), top2))  # PIVOTS vectors at most
 
@@ -173,9 +178,12 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id",
         for batch in batches:
             if batch.num_rows:
                 x = lift(_matrix(batch.column(1).to_pylist(), dim), top2)
-                dist = np.stack([np.linalg.norm(x - c, axis=1) for c in centre.value], 1)
-                near = dist.argmin(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype("i4")), pa.array(dist[np.arange(len(x)), near])], ["vec_id", "v", "cell", "dist"])
+                near, least = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
+                for j, c in enumerate(centre.value):
+                    d = np.linalg.norm(x - c, axis=1)
+                    near[d < least] = j
+                    least = np.minimum(least, d)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype("i4")), pa.array(least)], ["vec_id", "v", "cell", "dist"])
 
     dealt = materialize(objects.mapInArrow(assign, "vec_id long, v array<long>, cell int, dist double"), "cells")
     cells = {r["cell"]: (r["n"], r["radius"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()}  # PIVOTS rows at most
@@ -183,15 +191,16 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id",
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     shards = {c: -(-m // SHARD) for c, (m, _) in cells.items()}
     first = dict(zip(sorted(shards), np.cumsum([0, *(shards[c] for c in sorted(shards))]).tolist(), strict=False))
-    number = F.expr("CASE " + " ".join(f"WHEN cell = {c} THEN {first[c]} + pmod(xxhash64(vec_id), {shards[c]})" for c in shards) + " ELSE 0 END").cast("int")
+    numbers = F.broadcast(spark.createDataFrame([(int(c), int(first[c]), int(shards[c])) for c in shards], "cell int, first int, shards int"))  # PIVOTS rows at most
+    numbered = dealt.join(numbers, "cell").withColumn("shard", F.expr("first + cast(pmod(xxhash64(vec_id), shards) AS int)"))
 
     def load(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id", kind="stable")
-        pages = build(frame["vec_id"].to_numpy(), lift(_matrix(frame["v"], dim), top2))
+        pages = build(frame["vec_id"].to_numpy(), lift(_matrix(frame["v"], dim), top2), _matrix(frame["v"], dim, np.int64))
         shard = int(frame["shard"].iloc[0])
-        return pd.DataFrame([(shard, p, leaf, i.tolist(), r.tolist(), d.tolist(), v.ravel().tolist()) for p, leaf, i, r, d, v in pages], columns=["shard", "page", "leaf", "ids", "radius", "parent", "vectors"])
+        return pd.DataFrame([(shard, p, leaf, i.tolist(), r.tolist(), d.tolist(), v.ravel().tolist(), w.ravel().tolist()) for p, leaf, i, r, d, v, w in pages], columns=["shard", "page", "leaf", "ids", "radius", "parent", "vectors", "whole"])
 
-    index = materialize(dealt.withColumn("shard", number).groupBy("shard").applyInPandas(load, f"shard int, {PAGE}"), "mtree")
+    index = materialize(numbered.select("shard", "vec_id", "v").groupBy("shard").applyInPandas(load, f"shard int, {PAGE}"), "mtree")
 
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "v").distinct()
 
@@ -200,12 +209,13 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id",
         if len(left) and len(right):
             pages = _pages(left, wide)
             for q, v, least in zip(right["query_id"], right["v"], right["least"], strict=True):
-                vec = np.zeros(dim)
+                vec = np.zeros(dim, dtype=np.int64)
                 vec[: len(v)] = v
-                out += [(q, v, i, s) for s, i in search(pages, vec, int(q), k, top2, float(least))]
+                out += [(q, v, i, s) for s, i in search(pages, vec, int(q), k, top2, None if least == none else int(least))]
         return pd.DataFrame(out, columns=["query_id", "v", "vec_id", "score"])
 
     result = "query_id long, v array<long>, vec_id long, score long"
+    none = -(1 << 63)  # stands for no bound yet
 
     def route(batches: Iterator[pa.RecordBatch], home: bool) -> Iterator[pa.RecordBatch]:
         """One row for each query and shard to be searched: the home shard, or all others that may still matter."""
@@ -218,7 +228,7 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id",
             q = np.concatenate([raw, np.zeros((len(raw), 1))], 1)
             dist = np.stack([np.linalg.norm(q - centre.value[c], axis=1) for c in order], 1)
             start = np.array([first[order[j]] for j in dist.argmin(1)])
-            least = np.full(len(raw), -np.inf) if home else batch.column(2).to_numpy(zero_copy_only=False)
+            least = np.full(len(raw), none) if home else batch.column(2).to_numpy()
             row, shard = [], []
             for i in range(len(raw)):
                 if home:
@@ -226,24 +236,26 @@ def top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id",
                     shard.append(start[i])
                     continue
                 bound = (raw[i] @ raw[i] + top2 - np.maximum(0.0, dist[i] - radius) ** 2) / 2
-                for j in np.flatnonzero(bound + 1e-6 * (top2 + 1) >= least[i]):
+                for j in np.flatnonzero((least[i] == none) | (bound + 1e-6 * (top2 + 1) >= float(least[i]))):
                     for s in range(first[order[j]], first[order[j]] + shards[order[j]]):
                         if s != start[i]:
                             row.append(i)
                             shard.append(s)
             at = pa.array(np.array(row, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(least[row] if row else np.zeros(0)), pa.array(np.array(shard, dtype=np.int32))], ["query_id", "v", "least", "shard"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(least[row] if row else least[:0]), pa.array(np.array(shard, dtype=np.int32))], ["query_id", "v", "least", "shard"])
 
     def visits(routed: DataFrame) -> DataFrame:
         blocks = routed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-        spread = index.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+        # pages of a shard go to the blocks that have a query for it
+        needed = blocks.select("shard", F.col("block").alias("b")).distinct()
+        spread = index.join(needed, "shard")
         return spread.groupBy("shard", "b").cogroup(blocks.withColumnRenamed("shard", "at_shard").groupBy("at_shard", "block")).applyInPandas(visit, result)
 
     n_blocks = max(1, -(-asked.count() // BLOCK))
-    routed_schema = "query_id long, v array<long>, least double, shard int"
+    routed_schema = "query_id long, v array<long>, least long, shard int"
     near = materialize(visits(asked.mapInArrow(lambda b: route(b, True), routed_schema)), "home")
     bounds = near.groupBy("query_id", "v").agg(F.count("*").alias("found"), F.min("score").alias("least")).where(f"found = {k}")
-    rest = asked.join(bounds, ["query_id", "v"], "left").select("query_id", "v", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("least"))
+    rest = asked.join(bounds, ["query_id", "v"], "left").select("query_id", "v", F.coalesce("least", F.lit(none)).alias("least"))
     far = visits(rest.mapInArrow(lambda b: route(b, False), routed_schema))
     merged = near.unionByName(far).selectExpr("query_id", "vec_id", "score", "row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS rank").where(f"rank <= {k}")
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
