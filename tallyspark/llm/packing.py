@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, slices
 
 CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a worker remembers, at most.
 CACHE_WORDS = 1_000_000
-_MARKED = re.compile(rb"^(.*[A-Za-z0-9\x80-\xff])([!-&(-/:-@\[-`{-~]+)$", re.DOTALL)
+_MARKED = re.compile(rb"^(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)$", re.DOTALL)
 #: Blocks that the pieces of one length are ranked in, at least, and pieces in such a block, about.
 BLOCKS, BLOCK_ROWS = 64, 1_000_000
 
@@ -51,9 +51,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def _byte_letters() -> list[str]:
@@ -89,7 +87,8 @@ class WordIds:
     ids of a text are those of its blank-separated parts, joined.  A part that ends in
     ASCII marks (apostrophes excepted) behind a letter or digit is two words to the
     tokenizer, and an ASCII part has the ids of its lower case, so that fewer
-    different words reach the tokenizer.
+    different words reach the tokenizer.  Both hold for ASCII parts without ``<|``, which
+    may begin a special token; all other parts go to the tokenizer as they are.
     """
 
     def __init__(self, path: str, bound: int = CACHE_WORDS):
@@ -101,9 +100,10 @@ class WordIds:
         """The ids of blank-free parts, without remembering the parts themselves."""
         cut = []
         for p in parts:
-            low = p.lower() if p.isascii() else p
-            m = _MARKED.match(low)
-            cut.append(m.groups() if m and (low.isascii() or m[1].decode("utf-8", "replace")[-1].isalnum()) else (low,))
+            plain = p.isascii() and b"<|" not in p
+            low = p.lower() if plain else p
+            m = _MARKED.match(low) if plain else None
+            cut.append(m.groups() if m else (low,))
         new = [w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.words]
         if len(self.words) + len(new) > self.bound:
             self.words.clear()
@@ -140,12 +140,11 @@ class WordIds:
 
 def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of every document."""
-    small_batches(docs.sparkSession)
     end = np.array([SEPARATOR], dtype="<u4").tobytes()
     ids = WordIds(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, data in zip(batch.column(0).to_pylist(), ids.encode(batch.column(1).to_pylist()), strict=True):
                 data += end
