@@ -40,7 +40,7 @@ RUN = (1 << 15) - 1
 #: Ends of sentences and paragraphs.
 SENTENCE_END = r"[.!?]+[ \n]+|\n+"
 #: Rows of a bucket in next_document(), and the most buckets.
-BUCKET_ROWS, MAX_BUCKETS, MAX_BOUNDS = 128, 100_000, 256
+BUCKET_ROWS, MAX_BUCKETS, MAX_BOUNDS = 128, 1 << 20, 256
 
 
 def _sum(items: str) -> str:
@@ -86,16 +86,16 @@ def text_sql(fp: str) -> str:
 
 
 def _centred(fp: str) -> str:
-    return f"transform({fp}.like, x -> 2 * x - {fp}.m)"
+    return f"transform({fp}.like, z_x -> 2 * z_x - {fp}.m)"
 
 
 def likeness_sql(a: str, b: str) -> str:
     """Cosine of the two sketches, 0 to 1; 1 for equal fingerprints."""
-    dot = lambda x, y: f"cast(aggregate(zip_with({x}, {y}, (u, v) -> u * v), 0L, (s, z) -> s + z) AS double)"
-    return f"""transform(array(struct({_centred(a)} AS u, {_centred(b)} AS v)), c ->
+    dot = lambda x, y: f"cast(aggregate(zip_with({x}, {y}, (z_u, z_v) -> z_u * z_v), 0L, (z_s, z_t) -> z_s + z_t) AS double)"
+    return f"""transform(array(struct({_centred(a)} AS u, {_centred(b)} AS v)), z_c ->
         if({a}.m = 0 OR {b}.m = 0, if({a}.m = {b}.m, 1D, 0D),
-          transform(array(struct({dot('c.u', 'c.u')} AS uu, {dot('c.v', 'c.v')} AS vv, {dot('c.u', 'c.v')} AS uv)), d ->
-            if(d.uu = 0 OR d.vv = 0, 0D, greatest(0D, least(1D, round(d.uv / sqrt(d.uu * d.vv), 6)))))[0]))[0]"""
+          transform(array(struct({dot('z_c.u', 'z_c.u')} AS uu, {dot('z_c.v', 'z_c.v')} AS vv, {dot('z_c.u', 'z_c.v')} AS uv)), z_d ->
+            if(z_d.uu = 0 OR z_d.vv = 0, 0D, greatest(0D, least(1D, round(z_d.uv / sqrt(z_d.uu * z_d.vv), 6)))))[0]))[0]"""
 
 
 def _bucket(docs: DataFrame) -> tuple[str, int]:

@@ -13,7 +13,7 @@ The interval join runs inside the row: parts are merged in order of their
 starts, and as parts of one kind do not overlap and have ``MIN_PART`` code points
 at least, all partners of a part lie within ``REACH`` places of it.  So the cost
 is linear in the number of parts, nothing is shuffled, and no pair is made.
-Positions come from prefix sums in two levels.
+Positions come from prefix sums in four levels.
 
 Null texts count as empty; they, and texts without a match, give zeros, the
 digest of no bytes and an empty list.  Every input row gives one result row, so
@@ -44,25 +44,38 @@ WEAK = (
 KINDS = tuple(k for k, *_ in BASE) + tuple(k for k, *_ in WEAK)
 REACH = len(KINDS) * (SCOPE // MIN_PART + 1)
 _BLOCK = 64
-MASK = "￾"
+#: Characters that may stand for blanked places of a text that does not hold them: the noncharacters of Unicode and those of private use.
+MASKS = "".join(map(chr, [*range(0xFDD0, 0xFDF0), *(p * 0x10000 + x for p in range(1, 17) for x in (0xFFFE, 0xFFFF)), *range(0xE000, 0xF900)]))
 
 
 def _q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _bind(name: str, value: str, body: str) -> str:
+    """SQL of body, where name stands for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _spans(kind: int, pattern: str) -> str:
-    """SQL for array<struct<s, k, e, m>> of all matches of pattern in t, in order; code points, e exclusive."""
+    """SQL for array<struct<s, k, n, m>> of all matches of pattern in t, in order; code points.
+
+    Places are sums of the lengths before them, kept for runs of 64, 64^2 and 64^3 matches,
+    so that a match costs a bounded number of steps in any text.
+    """
     p = _q(pattern)
-    found = f"""
-      transform(array(struct(split(t, {p}, -1) AS g, regexp_extract_all(t, {p}, 0) AS m)), c ->
-       transform(array(struct(c.g AS g, c.m AS m, transform(c.m, (x, i) -> char_length(c.g[i]) + char_length(x)) AS d)), c2 ->
-        transform(array(struct(c2.g AS g, c2.m AS m, c2.d AS d,
-          transform(sequence(0, cast(size(c2.d) / {_BLOCK} AS int)), b -> aggregate(slice(c2.d, b * {_BLOCK} + 1, {_BLOCK}), 0, (a, x) -> a + x)) AS bs)), c3 ->
-         transform(c3.m, (x, i) -> named_struct(
-          's', aggregate(slice(c3.bs, 1, cast(i / {_BLOCK} AS int)), 0, (a, y) -> a + y)
-             + aggregate(slice(c3.d, cast(i / {_BLOCK} AS int) * {_BLOCK} + 1, i % {_BLOCK}), 0, (a, y) -> a + y) + char_length(c3.g[i]),
-          'k', {kind}, 'n', char_length(x), 'm', x)))[0])[0])[0]"""
+    total = lambda items: f"aggregate({items}, 0, (a, y) -> a + y)"
+    runs = lambda items: f"transform(sequence(0, cast(size({items}) div {_BLOCK} AS int)), b -> {total(f'slice({items}, b * {_BLOCK} + 1, {_BLOCK})')})"
+
+    def upto(items: str, each: int, last: bool = False) -> str:
+        """The sum of the runs of ``each`` matches before match i, since the last longer run began."""
+        at = f"cast(i div {each} AS int)"
+        return total(f"slice({items}, 1, {at})" if last else f"slice({items}, cast(i div {each * _BLOCK} AS int) * {_BLOCK} + 1, {at} % {_BLOCK})")
+
+    place = " + ".join([upto("d3", _BLOCK**3, True), upto("d2", _BLOCK**2), upto("d1", _BLOCK), upto("d0", 1)])
+    found = f"transform(m0, (x, i) -> named_struct('s', {place} + char_length(g0[i]), 'k', {kind}, 'n', char_length(x), 'm', x))"
+    for name, value in (("d3", runs("d2")), ("d2", runs("d1")), ("d1", runs("d0")), ("d0", "transform(m0, (x, i) -> char_length(g0[i]) + char_length(x))"), ("m0", f"regexp_extract_all(t, {p}, 0)"), ("g0", f"split(t, {p}, -1)")):
+        found = _bind(name, value, found)
     empty = "cast(array() AS array<struct<s:int,k:int,n:int,m:string>>)"
     return f"if(t rlike {p}, {found}, {empty})"
 
@@ -110,19 +123,23 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs, all columns, with every span of its text replaced by mark, and n_chars set anew where text changed.
 
     Kinds are blanked one after another to equal length, so that positions stay;
-    then each blanked run becomes one mark.
+    then each blanked run becomes one mark.  The blank is the first of ``MASKS`` that
+    the text does not hold; only in a text that holds all of these 6,464 characters
+    would the first of them be taken for blanks.
     """
     # all columns travel in one struct, whatever their names
     df = find_spans(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), docs["text"]))
+    masks = f"split({_q(MASKS)}, '')"
+    df = df.withColumn("_mask", F.expr(f"if(size(spans) = 0, '', coalesce(element_at(filter({masks}, c -> c <> '' AND instr(t, c) = 0), 1), '{MASKS[0]}'))"))
     for i in range(len(KINDS)):
         own = f"filter(spans, x -> x.k = {i})"
         blank = f"""transform(array({own}), c -> concat(
             array_join(transform(c, (x, j) -> concat(
-              substring(t, if(j = 0, 0, c[j - 1].e) + 1, x.s - if(j = 0, 0, c[j - 1].e)), repeat('{MASK}', x.e - x.s))), ''),
+              substring(t, if(j = 0, 0, c[j - 1].e) + 1, x.s - if(j = 0, 0, c[j - 1].e)), repeat(_mask, x.e - x.s))), ''),
             substring(t, c[size(c) - 1].e + 1)))[0]"""
         df = df.withColumn("t", F.expr(f"if(exists(spans, x -> x.k = {i}), {blank}, t)"))
     hit = F.size("spans") > 0
-    text = F.when(hit, F.regexp_replace("t", f"{MASK}+", mark.replace("[", "\\["))).otherwise(F.col("text"))
+    text = F.when(hit, F.regexp_replace("t", F.concat("_mask", F.lit("+")), F.lit(mark.replace("\\", "\\\\").replace("$", "\\$")))).otherwise(F.col("text"))
 
     def column(name: str):
         old = F.col(f"_row.`{name}`")
