@@ -129,8 +129,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     # all columns travel in one struct, whatever their names
     df = find_spans(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), docs["text"]))
-    masks = f"split({_q(MASKS)}, '')"
-    df = df.withColumn("_mask", F.expr(f"if(size(spans) = 0, '', coalesce(element_at(filter({masks}, c -> c <> '' AND instr(t, c) = 0), 1), '{MASKS[0]}'))"))
+    masks = f"split({_q(MASKS)}, '')"  # looked at only in texts that hold the first of them
+    df = df.withColumn("_mask", F.expr(f"if(instr(t, '{MASKS[0]}') = 0, '{MASKS[0]}', coalesce(try_element_at(filter({masks}, c -> c <> '' AND instr(t, c) = 0), 1), '{MASKS[0]}'))"))
     for i in range(len(KINDS)):
         own = f"filter(spans, x -> x.k = {i})"
         blank = f"""transform(array({own}), c -> concat(
