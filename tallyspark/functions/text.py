@@ -39,6 +39,11 @@ def decode(content: bytes) -> str | None:
         return content.decode("latin-1")
 
 
+def text_lines(text: str) -> list[str]:
+    """Lines of a rule or list file: only CR, LF and both together end one."""
+    return re.split(r"\r\n|\r|\n", text)
+
+
 def normal_ends(text: str) -> str:
     """text with line feeds as the only line ends and none after the last line."""
     text = _ENDS.sub("\n", text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,8 @@ from ..functions.text import JAVA_SPACE, lines_column
 MASK = "\x01"
 #: Languages whose only tokens are block comments that do not nest, or that have none: pure expressions classify them.
 BLOCK_ONLY = tuple(x for x in LANGUAGES if not x.line and not x.quotes and not x.token_exceptions and not any(b.nested or b.line_start for b in x.blocks))
+#: Parts that the copies of one file are dealt in.
+COPY_SALTS = 32
 SORTS = ("total", "code", "comment", "blank", "files", "commentpct", "name")
 
 
@@ -22,17 +24,32 @@ def _java(text: str) -> str:
     return "".join("\\" + c if not c.isalnum() else c for c in text)
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def counts_column(text: Column, blocks: tuple = ()) -> Column:
     """struct<code, comment, blank> of a text whose language has these blocks and nothing else."""
-    if blocks:
-        comment = "(?s)" + "|".join(f"{_java(b.open)}.*?(?:{_java(b.close)}|\\z)" for b in blocks)
-        clean = F.translate(text, MASK, "\x02")
+
+    def of_lines(lines: Column) -> Column:
+        code = F.size(F.filter(lines, lambda x: x.rlike(f"[^{MASK}{JAVA_SPACE}]"))).cast("long")
+        solid = F.size(F.filter(lines, lambda x: x.rlike(f"[^{JAVA_SPACE}]"))).cast("long")
+        three = F.struct(code.alias("code"), solid.alias("solid"), F.size(lines).cast("long").alias("n"))
+        return _bind(three, lambda c: F.struct(c["code"].alias("code"), (c["solid"] - c["code"]).alias("comment"), (c["n"] - c["solid"]).alias("blank")))
+
+    def of_text(whole: Column) -> Column:
+        return _bind(lines_column(whole), of_lines)
+
+    if not blocks:
+        return of_text(text)
+    comment = "(?s)" + "|".join(f"{_java(b.open)}.*?(?:{_java(b.close)}|\\z)" for b in blocks)
+
+    def of_clean(clean: Column) -> Column:
         masked = F.transform(F.regexp_extract_all(clean, F.lit(comment), F.lit(0)), lambda c: F.regexp_replace(c, f"[^{JAVA_SPACE}]", MASK))
-        text = F.array_join(F.flatten(F.zip_with(F.split(clean, comment, -1), masked, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    lines = lines_column(text)
-    code = F.size(F.filter(lines, lambda x: x.rlike(f"[^{MASK}{JAVA_SPACE}]"))).cast("long")
-    solid = F.size(F.filter(lines, lambda x: x.rlike(f"[^{JAVA_SPACE}]"))).cast("long")
-    return F.struct(code.alias("code"), (solid - code).alias("comment"), (F.size(lines) - solid).cast("long").alias("blank"))
+        return _bind(F.array_join(F.flatten(F.zip_with(F.split(clean, comment, -1), masked, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""), of_text)
+
+    return _bind(F.translate(text, MASK, "\x02"), of_clean)
 
 
 def analyze_text(files: DataFrame, text: str = "text", language: str = "language", complexity: bool = True, simple_only: bool = False) -> DataFrame:
@@ -79,10 +96,10 @@ def analyze_content(files: DataFrame, content: str = "content", language: str =
     names = [f.name for f in keep] + (["hash"] if hashes else [])
     place = {n: i for i, n in enumerate([*names, content])}
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + (", hash string" if hashes else "") + ", code long, comment long, blank long, complexity long, error string"
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")  # rows are whole files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # rows are whole files: Spark bounds a batch in bytes, and 256 of them are objects at the same time
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             out: list[list] = [[], [], [], [], []]
             for data, name in zip(batch.column(place[content]).to_pylist(), batch.column(place[language]).to_pylist(), strict=True):
                 try:
@@ -171,12 +188,14 @@ def sort_languages(languages: DataFrame, key: str = "total", descending: bool |
 def drop_copies(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, skipped): of files with equal hashes the first in scan order stays; null hashes always do.
 
-    One shuffle of metadata rows for the smallest ordinal of each hash, which is aggregated
-    before it is sent, so that many copies of one file are no hot key.
+    The smallest ordinal of each hash is aggregated before it is sent.  Hashes met once need
+    no partner, and the others meet their files in COPY_SALTS parts, so that many copies of
+    one file are no hot key.
     """
-    first = files.where("hash IS NOT NULL").groupBy("hash").agg(F.min(F.struct("scan_ordinal", "path")).alias("_first"))
-    marked = files.join(first, "hash", "left")
-    copy = F.col("hash").isNotNull() & (F.col("scan_ordinal") != F.col("_first.scan_ordinal"))
+    first = files.where("hash IS NOT NULL").groupBy("hash").agg(F.min(F.struct("scan_ordinal", "path")).alias("_first"), F.count("*").alias("_n"))
+    first = first.where("_n > 1").select("hash", "_first", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("_salt"))
+    marked = files.withColumn("_salt", F.pmod(F.xxhash64("path", "scan_ordinal"), F.lit(COPY_SALTS)).cast("int")).join(first, ["hash", "_salt"], "left")
+    copy = F.col("_first").isNotNull() & (F.col("scan_ordinal") != F.col("_first.scan_ordinal"))
     kept = marked.where(~copy).select(*files.columns)
     skipped = marked.where(copy).select("path", F.concat(F.lit("duplicate of "), F.col("_first.path")).alias("reason"), "scan_ordinal")
     return kept, skipped

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import subprocess
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from ..sinks import reports
 from ..sources.datasource import register
 from ..sources.gitattributes import AttributeRules
 from ..sources.gitignore import IgnoreRules
+from ..sources.walker import read_list
 from .corpus import SQL_CODE, SQL_DOCS, SQL_LANGUAGES, SQL_PAGES, code_files, document_files, page_files, sql_health, sql_percent, table
 
 QUERIES: dict = {}
@@ -284,9 +286,9 @@ def diff_two_snapshots(spark, sf_dir):
     return diff.diff_languages(_side(spark, sf_dir, _NOW), _side(spark, sf_dir, _THEN)).select("language", *diff.MEASURES)
 
 
-@query(f"WITH {SQL_CODE}, {_sql_side('n', _NOW)} SELECT language, 0::BIGINT AS code, 0::BIGINT AS comment, 0::BIGINT AS blank, 0::BIGINT AS total FROM n")
+@query(f"WITH {SQL_CODE}, {_sql_side('n', 'true')} SELECT language, 0::BIGINT AS code, 0::BIGINT AS comment, 0::BIGINT AS blank, 0::BIGINT AS total FROM n")
 def diff_of_itself(spark, sf_dir):
-    return diff.diff_languages(_side(spark, sf_dir, _NOW), _side(spark, sf_dir, _NOW)).select("language", *diff.MEASURES)
+    return diff.diff_languages(_side(spark, sf_dir, "true"), _side(spark, sf_dir, "true")).select("language", *diff.MEASURES)
 
 
 @query(f"""WITH {SQL_CODE}, {_sql_side('n', _NOW)}, {_sql_side('o', _THEN)}, top AS (SELECT * FROM o ORDER BY total DESC, upper(language) LIMIT 4),
@@ -307,6 +309,13 @@ def diff_totals(spark, sf_dir):
     return diff.diff_totals(sums(_NOW), sums(_THEN))
 
 
+@query(f"WITH {SQL_CODE}, {_sql_side('n', 'true')} SELECT (row_number() OVER (ORDER BY total DESC, upper(language)) - 1)::BIGINT AS ordinal, language FROM n")
+def diff_order(spark, sf_dir):
+    """Rows of a comparison in the order of the current side."""
+    side = _side(spark, sf_dir, "true")
+    return diff.diff_languages(side, side.withColumn("language", F.lower("language")).withColumn("ordinal", -F.col("ordinal"))).select("ordinal", "language")
+
+
 def _scratch(spark: SparkSession) -> str:
     """A folder of this session for small files: the shared one if it is a path, else a temporary one."""
     shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://")
@@ -343,6 +352,40 @@ def threshold_gate(spark, sf_dir):
     return totals.select(*((F.col("comment_pct") < n).alias(f"below_{n}") for n in (20, 90)))
 
 
+@query(f"WITH {SQL_CODE}, s AS (SELECT {sql_percent('sum(comment)', 'sum(total)')} AS pct FROM code_counts) SELECT least, pct < least AS below FROM s, (VALUES (20::DOUBLE), (90::DOUBLE)) t(least)")
+def threshold_decision(spark, sf_dir):
+    totals = analysis.grand_totals(analysis.analyze_text(code_files(spark, sf_dir)))
+    return spark.createDataFrame([(x, analysis.below_threshold(totals, x)) for x in (20.0, 90.0)], "least double, below boolean")
+
+
+def _report(spark, sf_dir, top=None) -> reports.Report:
+    languages = [r.asDict() for r in analysis.sort_languages(_languages(spark, sf_dir), "total", top=top).collect()]  # a few dozen rows
+    return reports.Report(analysis.grand_totals(analysis.analyze_text(code_files(spark, sf_dir))).first().asDict(), languages, generated_at="2024-01-01T00:00:00Z")
+
+
+@query(f"WITH {SQL_LANGUAGES} SELECT 'Showing top 4 of ' || count(*) || ' languages; totals cover all languages.' AS note FROM languages")
+def report_note(spark, sf_dir):
+    return spark.createDataFrame([(_report(spark, sf_dir, top=4).note,)], "note string")
+
+
+@query(f"WITH {SQL_LANGUAGES} SELECT language, files::VARCHAR AS files, code::VARCHAR AS code, comment::VARCHAR AS comment, blank::VARCHAR AS blank FROM languages UNION ALL SELECT 'Total', sum(files)::VARCHAR, sum(code)::VARCHAR, sum(comment)::VARCHAR, sum(blank)::VARCHAR FROM languages")
+def report_csv(spark, sf_dir):
+    """The CSV report, read again by a CSV reader."""
+    path = os.path.join(_scratch(spark), "report.csv")
+    reports.write(reports.to_csv(_report(spark, sf_dir)), path)
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(*(F.col(rows.columns[rows.columns.index(c)]).alias(c.lower()) for c in ("Language", "Files", "Code", "Comment", "Blank")))
+
+
+@query(f"WITH {SQL_LANGUAGES} SELECT language, format('{{:,}}', files) AS files, format('{{:,}}', code) AS code FROM languages")
+def report_markdown(spark, sf_dir):
+    """The rows of the language table of the Markdown report."""
+    lines = [x.strip("|").split(" | ") for x in reports.to_markdown(_report(spark, sf_dir)).splitlines() if x.startswith("| ") and "---" not in x]
+    head = [h.strip() for h in lines[0]]
+    rows = [tuple(r[head.index(c)].strip().replace("\\", "") for c in ("Language", "Files", "Code")) for r in lines[1:] if "Total" not in r[0]]
+    return spark.createDataFrame(rows, "language string, files string, code string")
+
+
 # --- lines, bytes ----------------------------------------------------------------------------
 _TEXTS = (("", 0, 0), ("a", 1, 0), ("a\n", 1, 0), ("a\r\nb\r\n", 2, 0), ("a\rb\r", 2, 0), ("\n", 1, 1), ("\n\n", 2, 2), ("a\r\r\nb", 3, 1), (" \t\n\x0b\x0c", 2, 2), ("a\n\n", 2, 1))
 
@@ -376,10 +419,31 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.upper(F.sha2(F.col("text").cast("binary"), 256)).alias("hash"))
 
 
-@query("SELECT conv_id, count(*)::BIGINT AS turns, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM conversations WHERE text <> '' GROUP BY conv_id")
+@query(r"""SELECT conv_id, count(*)::BIGINT AS turns, sum(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n')) END)::BIGINT AS lines FROM conversations GROUP BY conv_id""")
 def conversation_lines(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("text <> ''")
-    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.size(F.split("text", "\n", -1))).alias("lines"))
+    c = table(spark, sf_dir, "conversations").withColumn("lines", F.size(lines_column(F.coalesce("text", F.lit("")))))
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum("lines").alias("lines"))
+
+
+def _template(x) -> tuple[str, bool]:
+    """A line that is a comment in a language if it has comments, and whether it has."""
+    token = x.line[0] + " note" if x.line else f"{x.blocks[0].open} note {x.blocks[0].close}" if x.blocks and not x.blocks[0].line_start else None
+    return token or "zzz note", token is not None
+
+
+_TEMPLATES = [(k, x.name, *_template(x)) for k, x in enumerate(LANGUAGES)]
+
+
+@query("WITH l(k, language, able) AS (VALUES " + ", ".join(f"({k}, '{name.replace(chr(39), chr(39) * 2)}', {able})" for k, name, _, able in _TEMPLATES) + f""")
+    SELECT language, count(*)::BIGINT AS files, sum(1 + doc_id % 4 + CASE WHEN able THEN 0 ELSE 1 + doc_id % 3 END)::BIGINT AS code, sum(CASE WHEN able THEN 1 + doc_id % 3 ELSE 0 END)::BIGINT AS comment,
+           sum(doc_id % 5)::BIGINT AS blank FROM documents JOIN l ON l.k = doc_id % {len(_TEMPLATES)} GROUP BY language""")
+def every_language(spark, sf_dir):
+    """A file of code, comment and blank lines for every document, in each of the languages in turn."""
+    at = F.create_map(*(F.lit(v) for k, name, line, _ in _TEMPLATES for v in (k, F.struct(F.lit(name).alias("language"), F.lit(line).alias("line")))))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("scan_ordinal"), at[(F.col("doc_id") % len(_TEMPLATES)).cast("int")].alias("x"))
+    text = F.concat(F.expr("repeat('zzz7\n', cast(1 + scan_ordinal % 4 AS int))"), F.expr("repeat(concat(x.line, '\n'), cast(1 + scan_ordinal % 3 AS int))"), F.expr("repeat(' \n', cast(scan_ordinal % 5 AS int))"))
+    files = d.select("scan_ordinal", F.col("x.language").alias("language"), text.alias("text"))
+    return analysis.by_language(analysis.analyze_text(files)).select("language", "files", "code", "comment", "blank")
 
 
 @query("SELECT * FROM (VALUES (78::BIGINT, 13::BIGINT, 158::BIGINT)) t(languages, with_complexity, extensions)")
@@ -452,3 +516,41 @@ def watch_passes(spark, sf_dir):
     return spark.createDataFrame(passes[-1], "rel_path string, language string, code long, comment long, blank long")
 
 
+def _repository(spark) -> str:
+    """A git repository whose work tree has moved on from its only commit."""
+    root = os.path.join(_scratch(spark), "repository")
+    write_tree(root, _TREE)
+    who = ["-c", "user.name=t", "-c", "user.email=t@example.com"]
+    for command in (["init", "-q"], ["add", "-A"], [*who, "commit", "-qm", "one"]):
+        subprocess.run(["git", "-C", root, *command], check=True, capture_output=True)
+    write_tree(root, {"a.py": "", "late.py": "x = 1\n"})
+    return root
+
+
+@query(_SQL_TREE)
+def git_snapshot_tree(spark, sf_dir):
+    """The committed tree, with its rule files, whatever the work tree holds now."""
+    register(spark)
+    scanned = spark.read.format("gittree").options(ref="HEAD", filters="true").load(_repository(spark)).where("skip_reason IS NULL").drop("skip_reason")
+    return analysis.analyze_content(scanned).select("rel_path", "language", "code", "comment", "blank")
+
+
+@query("SELECT * FROM (VALUES ('a.py', 1::BIGINT, 1::BIGINT, 1::BIGINT, NULL::VARCHAR), ('b.cs', 1, 2, 0, NULL), ('none.py', NULL, NULL, NULL, 'not found')) t(name, code, comment, blank, skip_reason)")
+def scan_file_list(spark, sf_dir):
+    """Files of a list: the first of each path, in spite of ignore rules; what is missing is told."""
+    register(spark)
+    root = write_tree(os.path.join(_scratch(spark), "listed"))
+    names = read_list("\r\n".join(os.path.join(root, n) for n in ("src/b.cs", "a.py", "none.py", "src/../a.py")))
+    scanned = spark.read.format("sourcetree").options(filelist="\n".join(names)).load(root)
+    name = F.substring_index(F.col("path"), "/", -1).alias("name")
+    counted = analysis.analyze_content(scanned.where("skip_reason IS NULL").drop("skip_reason")).select(name, "code", "comment", "blank", F.lit(None).cast("string").alias("skip_reason"))
+    none = F.lit(None).cast("long")
+    return counted.unionByName(scanned.where("skip_reason IS NOT NULL").select(name, none.alias("code"), none.alias("comment"), none.alias("blank"), "skip_reason"))
+
+
+@query("SELECT 'b.cs' AS rel_path, 1::BIGINT AS code, 2::BIGINT AS comment, 0::BIGINT AS blank")
+def scan_single_file(spark, sf_dir):
+    register(spark)
+    root = write_tree(os.path.join(_scratch(spark), "single"))
+    scanned = spark.read.format("sourcetree").load(os.path.join(root, "src/b.cs")).where("skip_reason IS NULL").drop("skip_reason")
+    return analysis.analyze_content(scanned).select("rel_path", "code", "comment", "blank")

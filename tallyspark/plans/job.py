@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime
 
@@ -13,6 +14,7 @@ from ..operators import analysis, diff
 from ..sinks import reports
 from ..sources.datasource import option_strings, register
 from ..sources.walker import read_list
+from ..streaming.watch import watch_tree
 from .options import ERROR, OK, THRESHOLD, OptionError, RunOptions, output_format
 
 
@@ -22,6 +24,10 @@ class Result:
     languages: DataFrame
     totals: DataFrame
     skipped: DataFrame
+    counted: DataFrame  # persisted; done() lets it go
+
+    def done(self) -> None:
+        self.counted.unpersist()
 
 
 def load_files(spark: SparkSession, options: RunOptions, git_ref: str | None = None, filters: bool = False) -> DataFrame:
@@ -31,7 +37,7 @@ def load_files(spark: SparkSession, options: RunOptions, git_ref: str | None = N
         return spark.read.format("gittree").options(**given, ref=git_ref, filters=str(filters).lower()).load(options.path)
     if options.list_file:
         text = sys.stdin.read() if options.list_file == "-" else open(options.list_file, encoding="utf-8-sig").read()
-        return spark.read.format("sourcetree").options(**given, paths="\n".join(read_list(text)) or " ").load(options.path)
+        return spark.read.format("sourcetree").options(**given, filelist="\n".join(read_list(text)) or " ").load(options.path)
     return spark.read.format("sourcetree").options(**given).load(options.path)
 
 
@@ -51,7 +57,7 @@ def analyze_files(scanned: DataFrame, options: RunOptions) -> Result:
     for more in skips[1:]:
         skipped = skipped.unionByName(more)
     files = analysis.with_percentages(good).withColumn("health", analysis.health(F.col("code"), F.col("comment"), analysis.supports_health(F.col("language"))))
-    return Result(files, analysis.by_language(good), analysis.grand_totals(good), skipped)
+    return Result(files, analysis.by_language(good), analysis.grand_totals(good), skipped, counted)
 
 
 def report_of(result: Result, options: RunOptions, clock: datetime | None = None) -> reports.Report:
@@ -85,10 +91,33 @@ def compare(spark: SparkSession, options: RunOptions, result: Result) -> tuple[D
     return diff.diff_languages(current, ordered(other, options)), diff.diff_totals(result.totals, other.totals)
 
 
-def run(spark: SparkSession, options: RunOptions, show=print, warn=lambda m: print(m, file=sys.stderr), clock: datetime | None = None) -> int:
-    """Runs and reports; the exit code."""
+def watch(spark: SparkSession, options: RunOptions, show, warn, stopped: Callable[[], bool]) -> int:
+    """A run for every change of the tree until stopped() or an interrupt; the exit code of the last pass."""
+    last = [OK]
+
+    def one(_: SparkSession) -> None:
+        last[0] = run(spark, replace(options, watch=False), show, warn)
+        if last[0] == ERROR:
+            raise RuntimeError("the pass failed and will be tried again")
+
+    stream = watch_tree(spark, options.path, one, on_error=lambda problem: warn(str(problem)))
+    try:
+        while not stopped() and not stream.awaitTermination(0.2):
+            pass
+    except KeyboardInterrupt:
+        pass
+    finally:
+        stream.stop()
+    return last[0]
+
+
+def run(spark: SparkSession, options: RunOptions, show=print, warn=lambda m: print(m, file=sys.stderr), clock: datetime | None = None, stopped: Callable[[], bool] = lambda: False) -> int:
+    """Runs and reports; the exit code.  With watch, until stopped() or an interrupt."""
+    result = None
     try:
         options.check()
+        if options.watch:
+            return watch(spark, options, show, warn, stopped)
         kind = output_format(options.format, options.output)
         comparing = bool(options.compare_to or options.baseline)
         if comparing and kind not in ("table", "json"):
@@ -121,6 +150,9 @@ def run(spark: SparkSession, options: RunOptions, show=print, warn=lambda m: pri
     except (OptionError, OSError, ValueError) as problem:
         warn(str(problem))
         return ERROR
+    finally:
+        if result is not None:
+            result.done()
 
 
 def with_defaults(**given) -> RunOptions:

@@ -74,8 +74,8 @@ class _TreeReader(DataSourceReader):
 
     def partitions(self) -> list[Chunk]:
         options = scan_options(self.given)
-        if self.given.get("paths"):
-            return _chunks(list_paths(self.given["paths"].split("\n"), options))
+        if self.given.get("filelist"):
+            return _chunks(list_paths(self.given["filelist"].split("\n"), options))
         return _chunks(list_tree(self.given["path"], options))
 
     def read(self, partition: Chunk) -> Iterator[tuple]:

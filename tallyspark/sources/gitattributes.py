@@ -102,8 +102,8 @@ class AttributeRules:
         body = glob_regex(glob.removeprefix("/"))
         if not glob or body is None:
             return None
-        # a pattern for folders covers the files beneath them
-        tail = "/.*" if folder else ""
+        # a pattern for folders covers what has that name and the files beneath it
+        tail = "(?:/.*)?" if folder else ""
         try:
             return re.compile(("" if "/" in glob else "(?:.*/)?") + body + tail + r"\Z", re.DOTALL | (re.IGNORECASE if self.ignore_case else 0))
         except re.error:

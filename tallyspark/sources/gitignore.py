@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from ..functions.text import text_lines
+
 
 def glob_regex(glob: str) -> str | None:
     """A pattern's glob as a regular expression; None if it can match nothing."""
@@ -170,7 +172,7 @@ def config_values(text: str) -> dict[str, str | None]:
     """section.key -> value of a git configuration text; the last one wins, includes are not followed."""
     out: dict[str, str | None] = {}
     section = ""
-    for line in re.sub(r"\\\r?\n", "", text).splitlines():
+    for line in text_lines(re.sub(r"\\\r?\n", "", text)):
         line = line.strip()
         if line.startswith("["):
             head, _, line = line[1:].partition("]")

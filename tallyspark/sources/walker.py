@@ -9,6 +9,7 @@ from pathlib import Path
 
 from ..functions.languages import OTHER, resolve
 from ..operators.filters import EXCLUDED_DIRS, folder_globs, matches_globs
+from ..functions.text import text_lines
 from .gitattributes import AttributeRules
 from .gitignore import IgnoreRules, config_values, truthy
 
@@ -111,7 +112,7 @@ def initial_rules(root: Path, options: ScanOptions) -> tuple[IgnoreRules | None,
         xdg = Path(os.environ.get("XDG_CONFIG_HOME") or home / ".config") / "git/ignore"
         everywhere = Path(os.path.expanduser(named)) if named else xdg
         for place in (everywhere, common_dir(git) / "info/exclude"):
-            ignore.add("", (_read(place) or "").splitlines())
+            ignore.add("", text_lines(_read(place) or ""))
     above = [p for p in reversed(root.parents) if p == top or top in p.parents] if root != top else []
     for folder in above:
         base = "" if folder == top else folder.relative_to(top).as_posix()
@@ -121,9 +122,9 @@ def initial_rules(root: Path, options: ScanOptions) -> tuple[IgnoreRules | None,
 
 def add_rules(ignore: IgnoreRules | None, attributes: AttributeRules | None, base: str, read: Callable[[str], str | None]) -> None:
     if ignore is not None and (text := read(".gitignore")) is not None:
-        ignore.add(base, text.splitlines())
+        ignore.add(base, text_lines(text))
     if attributes is not None and (text := read(".gitattributes")) is not None:
-        attributes.add(base, text.splitlines())
+        attributes.add(base, text_lines(text))
 
 
 def list_tree(root: str, options: ScanOptions) -> Listing:
@@ -226,7 +227,7 @@ def list_paths(paths: Iterable[str], options: ScanOptions) -> Listing:
 
 def read_list(text: str) -> list[str]:
     """Paths of a list file, one to a line; blank lines do not count."""
-    return [x for x in text.removeprefix("﻿").splitlines() if x.strip()]
+    return [x for x in text_lines(text.removeprefix("﻿")) if x.strip()]
 
 
 def list_snapshot(entries: Iterable[str], options: ScanOptions, read: Callable[[str], str | None], scope: str = "", ignore_case: bool = False) -> list[tuple[str, str]]:

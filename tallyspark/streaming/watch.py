@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -46,22 +47,22 @@ class RetryState:
 
 
 class _Changes(SimpleDataSourceStreamReader):
-    """A version of the tree (times and sizes of its files) as the offset; a row for each new version."""
+    """A version of the tree (a hash of names, times and sizes of its files) as the offset; a row for each new version."""
 
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
 
     def version(self) -> str:
-        newest, n, size = 0, 0, 0
+        found = hashlib.sha256()
         for folder, dirs, files in os.walk(self.root):
-            dirs[:] = [d for d in dirs if d not in EXCLUDED_DIRS]
-            for f in files:
+            dirs[:] = sorted(d for d in dirs if d not in EXCLUDED_DIRS)
+            for f in sorted(files):
                 try:
                     s = os.stat(os.path.join(folder, f))
                 except OSError:
                     continue
-                newest, n, size = max(newest, s.st_mtime_ns), n + 1, size + s.st_size
-        return f"{newest}-{n}-{size}"
+                found.update(f"{os.path.join(folder, f)}\0{s.st_mtime_ns}\0{s.st_size}\0".encode("utf-8", "surrogateescape"))
+        return found.hexdigest()
 
     def initialOffset(self) -> dict:
         return {"version": ""}
@@ -86,10 +87,10 @@ class TreeChanges(DataSource):
         return _Changes(self.options)
 
 
-def watch_tree(spark: SparkSession, root: str, on_change: Callable[[SparkSession], None], checkpoint: str | None = None, trigger: str = TRIGGER, once: bool = False, clock: Callable[[], float] | None = None):
+def watch_tree(spark: SparkSession, root: str, on_change: Callable[[SparkSession], None], checkpoint: str | None = None, trigger: str = TRIGGER, once: bool = False, clock: Callable[[], float] | None = None, on_error: Callable[[Exception], None] | None = None):
     """A streaming query that calls on_change for every changed version of the tree.
 
-    A failing pass keeps the last good result and is tried again later.
+    A failing pass is told to on_error, keeps the last good result and is tried again later.
     """
     import time
 
@@ -107,8 +108,10 @@ def watch_tree(spark: SparkSession, root: str, on_change: Callable[[SparkSession
             on_change(batch.sparkSession)
             retry.succeeded()
             pending["changed"] = False
-        except Exception:
+        except Exception as problem:
             retry.failed(now())
+            if on_error:
+                on_error(problem)
 
     writer = spark.readStream.format("treechanges").load(root).writeStream.foreachBatch(each)
     if checkpoint:

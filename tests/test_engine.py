@@ -199,3 +199,51 @@ def test_delta_stream(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
         got = summed(spark.read.parquet(str(tmp_path / "out"))).first()
     assert tuple(got) == ("C", 2, 5, 2, 1)
+
+
+def test_run_of_a_file_list(spark, tmp_path):
+    from tallyspark.plans import job
+
+    for name, text in (("a.py", "# a\nx = 1\n"), ("b\u2028c.py", "y = 2\n")):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    (tmp_path / "list").write_text("\r\n".join(str(tmp_path / n) for n in ("a.py", "b\u2028c.py", "a.py")), encoding="utf-8")
+    files = job.load_files(spark, job.with_defaults(path=str(tmp_path), list_file=str(tmp_path / "list")))
+    assert sorted(os.path.basename(r["path"]) for r in files.select("path").collect()) == ["a.py", "b\u2028c.py"]
+
+
+def test_run_watches(spark, tmp_path):
+    """A pass for each change, the code of the last one, errors told."""
+    import time
+
+    from tallyspark.plans import job
+
+    (tmp_path / "a.py").write_text("x = 1\n")
+    shown, told = [], []
+
+    def stopped() -> bool:
+        if len(shown) == 1 and not (tmp_path / "b.py").exists():
+            (tmp_path / "b.py").write_text("y = 1\ny = 2\n")
+        return len(shown) >= 2 or time.time() > end
+
+    end = time.time() + 90
+    code = job.run(spark, job.with_defaults(path=str(tmp_path), watch=True), show=shown.append, warn=told.append, stopped=stopped)
+    assert code == 0 and len(shown) == 2 and shown[0] != shown[1] and not told
+
+
+def test_version_sees_older_times(tmp_path):
+    """An edit that keeps the size and sets a time below the newest is a change."""
+    from tallyspark.streaming.watch import _Changes
+
+    for n in "ab":
+        (tmp_path / n).write_text("x")
+        os.utime(tmp_path / n, (2000, 2000))
+    before = _Changes({"path": str(tmp_path)}).version()
+    os.utime(tmp_path / "a", (1000, 1000))
+    assert _Changes({"path": str(tmp_path)}).version() != before
+
+
+def test_folder_attributes_match_files_of_that_name():
+    from tallyspark.sources.gitattributes import AttributeRules
+
+    rules = AttributeRules().add("", ["vendor/ linguist-vendored"])
+    assert rules.marked("vendor") and rules.marked("vendor/x.c") and not rules.marked("vendors/x.c")
