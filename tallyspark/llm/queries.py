@@ -5,7 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 
 from . import bpe, lm, mtree, multiset_hash, ngram_join, packing, quality, secrets, toxicity, url_filter
-from .common import read_table as table
+from .common import read_table, small_batches
+
+
+def table(spark, sf_dir, name):
+    small_batches(spark)
+    return read_table(spark, sf_dir, name)
 
 
 def op1_byte_bpe(spark, sf_dir):
