@@ -1,19 +1,17 @@
 """Best-fit packing: bulk-synchronous best-fit on range-sorted documents and gaps.
 
 Documents are tokenized whole, end with one separator id and are cut only above
-the capacity, into pieces of that length and a shorter rest.  Then, in decreasing
-order of length, each piece goes into the smallest gap that holds it; pieces that
-no gap holds open new sequences.
-
-Lengths and gaps are whole numbers up to the capacity, so range-sorting them gives
-at most ``capacity`` classes each.  One sweep matches all pieces of a length with
-the gaps in successor order (``plan``): the piece of rank r takes the r-th gap, so
-there are no conflicts left to resolve, then the gaps are updated and the next length
-follows.  The sweep works on runs (a class and a count); what it needs from
-the corpus is the number of pieces of each length, at most ``capacity`` numbers,
-however large the corpus is.  The pieces themselves stay distributed: each gets
-its rank among those of its length, counted in salted blocks so that a length that
-a third of all pieces share is no hot key, and looks up its run.
+the capacity, into pieces of that length and a shorter rest.
+
+Rounds place the pieces.  Before each, as many sequences are opened as the rest needs at least.  Then
+pieces and gaps, sorted by size, meet: the largest piece first, each takes the smallest gap
+that holds it (``match``).  Conflicts are settled by ranks, the gaps are updated, and the next
+round follows until all pieces are placed.  A gap takes one piece in a round, so one with room for several of
+the longest piece left is offered as that many gaps, if there are more pieces than gaps (``offer``).
+
+All rows of a round stay distributed, and its result is a table in the shared folder.  Ranks
+are counted in salted blocks, so that a length that a third of all pieces share is no
+hot key.  The driver sees counts by size only, at most two for each size up to the capacity.
 
 Null texts count as empty: such a document is one piece, the separator alone.
 Repeated rows are packed as often as they occur, ties of length are placed in any
@@ -22,13 +20,12 @@ order, further columns are ignored, and an empty table gives an empty result.
 
 from __future__ import annotations
 
-import bisect
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +38,11 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a worker remembers, at most.
 CACHE_WORDS = 1_000_000
-_MARKED = re.compile(rb"^(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)$", re.DOTALL)
-#: Blocks that the pieces of one length are ranked in, at least, and pieces in such a block, about.
-BLOCKS, BLOCK_ROWS = 64, 1_000_000
+#: ASCII marks but the apostrophe, and what may stand before them where they are cut off an ASCII part.
+_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'")
+_PLAIN_END = re.compile(rb"[a-z0-9]\Z")
+#: Rows of one size that are ranked together, about.
+BLOCK_ROWS = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -80,62 +79,53 @@ def _letters(word: bytes) -> str | None:
     return "".join(_BYTE[b] for b in text.lower().encode())
 
 
-class WordIds:
-    """Ids of texts, word by word.
+class WordIds(dict):
+    """Ids of texts, word by word: a mapping of blank-free parts to little-endian unsigned 32-bit ids.
 
     The tokenizer drops white space and none of its steps looks across it, so the
     ids of a text are those of its blank-separated parts, joined.  A part that ends in
-    ASCII marks (apostrophes excepted) behind a letter or digit is two words to the
-    tokenizer, and an ASCII part has the ids of its lower case, so that fewer
-    different words reach the tokenizer.  Both hold for ASCII parts without ``<|``, which
+    ASCII marks (apostrophes excepted) behind an ASCII letter or digit, or behind Latin letters
+    only, is two words to the tokenizer, and an ASCII part has the ids of its lower case, so that fewer
+    different words reach the tokenizer.  This holds for parts without ``<|``, which
     may begin a special token; all other parts go to the tokenizer as they are.
     """
 
     def __init__(self, path: str, bound: int = CACHE_WORDS):
+        super().__init__()
         self.path, self.bound = path, bound
-        self.known: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
-    def of_words(self, parts: list[bytes]) -> list[bytes]:
-        """The ids of blank-free parts, without remembering the parts themselves."""
-        cut = []
-        for p in parts:
-            plain = p.isascii() and b"<|" not in p
-            low = p.lower() if plain else p
-            m = _MARKED.match(low) if plain else None
-            cut.append(m.groups() if m else (low,))
-        new = [w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.words]
-        if len(self.words) + len(new) > self.bound:
-            self.words.clear()
-            new = list(dict.fromkeys(w for words in cut for w in words))
-        if new:
-            t, odd = _tokenizer(self.path), []
-            model = t.model
-            for w in new:
-                plain = _letters(w)
-                if plain is None:
-                    odd.append(w)
-                else:
-                    ids = [x.id for x in model.tokenize(plain)]
-                    self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
-            for w, x in zip(odd, t.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False), strict=True):
-                self.words[w] = struct.pack(f"<{len(x.ids)}I", *x.ids)
-        words = self.words
-        return [words[w[0]] if len(w) == 1 else words[w[0]] + words[w[1]] for w in cut]
+    def __missing__(self, part: bytes) -> bytes:
+        if b"<|" in part:
+            found = self.of_word(part)
+        else:
+            low = part.lower() if part.isascii() else part
+            head = low.rstrip(_MARKS)
+            if len(head) < len(low) and (_PLAIN_END.search(head) if low.isascii() else _letters(head) is not None):
+                found = self.of_word(head) + self.of_word(low[len(head) :])
+            else:
+                found = self.of_word(low)
+        self[part] = found
+        return found
+
+    def of_word(self, word: bytes) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            t, plain = _tokenizer(self.path), _letters(word)
+            if plain is None:
+                ids = t.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+            else:
+                ids = [x.id for x in t.model.tokenize(plain)]
+            found = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        known = self.known
-        missing = {w for words in split for w in words if w not in known}
-        if len(known) + len(missing) > self.bound:
-            known.clear()
-            missing = {w for words in split for w in words}
-        if missing:
-            missing = sorted(missing)
-            known.update(zip(missing, self.of_words(missing), strict=True))
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+        """The ids of each text."""
+        for text in texts:
+            if len(self) > self.bound:
+                self.clear()
+                self.words.clear()
+            yield b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -159,84 +149,86 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing on runs: (length, first rank, pieces, first sequence, offset) for each run.
+def offer(gaps: DataFrame, longest: int, each: int) -> DataFrame:
+    """kind, id, size: every gap of a sequence as at most ``each`` gaps that hold the longest piece left, or as one."""
+    cut = gaps.selectExpr("id", "size", f"greatest(1, least({each}, size DIV {longest})) AS n").selectExpr("id", "size", "n", "explode(sequence(1L, n)) AS j")
+    return cut.selectExpr("0 AS kind", "id", f"IF(j = n, size - (n - 1) * {longest}, {longest}L) AS size")
 
-    The piece of rank r in a run goes to sequence ``first sequence + r - first rank``.
-    """
-    runs: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences that have it: first, how many
-    order: list[int] = []  # the gaps, ascending
-    opened = 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                bisect.insort(order, gap)
-                gaps[gap] = []
-            gaps[gap].append((first, n))
-
-    for length in sorted((k for k in counts if counts[k]), reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(order, length)
-            if at == len(order):  # no gap holds it: open a sequence for each piece, or for each group that shares one
-                each = capacity // length
-                n = max(1, left // each)
-                first, offset = opened, 0
-                opened += n
-                for _ in range(min(each, left)):
-                    runs.append((length, rank, n, first, offset))
-                    rank, left, offset = rank + n, left - n, offset + length
-                add(capacity - offset, first, n)
-                continue
-            gap = order[at]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], order[at]
-            take = min(n, left)
-            runs.append((length, rank, take, first, capacity - gap))
-            add(gap, first + take, n - take)
-            add(gap - length, first, take)
-            rank, left = rank + take, left - take
-    return runs
 
+def match(state: DataFrame, blocks: int) -> DataFrame:
+    """One bulk-synchronous round: kind, id, size, item.
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with length, doc_id, piece) and sequence_id, offset."""
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    runs = plan(counts, capacity)
-    total = sum(counts.values())
-    shift = 1 << 44
-    table = np.array(runs, dtype=np.int64).reshape(-1, 5)
-    table = table[np.lexsort((table[:, 1], table[:, 0]))]
-    keys = table[:, 0] * shift + table[:, 1]
-    sent = pieces.sparkSession.sparkContext.broadcast((keys, table))  # runs: bounded by classes of lengths and gaps
-    blocks = max(BLOCKS, total // BLOCK_ROWS)
-    salted = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
-    before = (
-        salted.groupBy("length", "block").agg(F.count("*").alias("n"))
-        .selectExpr("length", "block", "sum(n) OVER (PARTITION BY length ORDER BY block) - n AS before")
+    ``state`` has kind, id, size: gaps (kind 0, the sequence and what is free in it) and
+    pieces (kind 1, the item and its length).  Sorted by size, largest first, the pieces meet the gaps as
+    in best fit decreasing, where every gap takes one piece: a piece takes the smallest gap
+    that holds it and that no larger piece has taken.  Read as brackets, a gap opens and a piece closes
+    the latest gap still open.  The depth before each run of equal rows comes from
+    counts; a row's rank in its run then gives the level that it opens or closes, which
+    settles all conflicts, and of the rows of a level each piece follows its gap.
+
+    The result holds what is free in each sequence (kind 0), the pieces that found no gap (kind 1), and as kind 2
+    the placed pieces: sequence, length and item.
+    """
+    salted = state.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    order = "OVER (ORDER BY size DESC, kind, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    runs = (  # at most two rows for each size and block
+        salted.groupBy("size", "kind", "block").agg(F.count("*").alias("n"))
+        .selectExpr("size", "kind", "block", f"sum(IF(kind = 0, n, -n)) {order} AS total")
+        .selectExpr("size", "kind", "block", f"total - least(0, min(total) {order}) AS after")
+        .selectExpr("size", "kind", "block", "lag(after, 1, 0L) OVER (ORDER BY size DESC, kind, block) AS depth")
     )
-    ranked = salted.withColumn("r", F.expr("row_number() OVER (PARTITION BY length, block ORDER BY doc_id, piece) - 1")).join(before, ["length", "block"])
-    names = [c for c in pieces.columns]
-    ranked = ranked.select(*names, (F.col("before") + F.col("r")).alias("rank"))
+    ranked = salted.selectExpr("*", "row_number() OVER (PARTITION BY size, kind, block ORDER BY id) - 1 AS r").join(runs, ["size", "kind", "block"])
+    # pieces without a gap get negative keys of their own, so that they are no hot key
+    keyed = ranked.selectExpr("size", "kind", "block", "id", "CASE WHEN kind = 0 THEN depth + r WHEN r < depth THEN depth - 1 - r ELSE -1 - abs(xxhash64(id) DIV 2) END AS key")
+    within = "OVER (PARTITION BY key ORDER BY size DESC, kind, block, id)"
+    met = keyed.selectExpr("size", "kind", "id", "key", f"lead(kind) {within} AS next", f"lead(id) {within} AS item", f"lead(size) {within} AS taken")
+    row = "named_struct('kind', {}, 'id', id, 'size', {}, 'item', {})"
+    same = row.format("kind", "size", "CAST(NULL AS LONG)")
+    left = row.format("0", "size - taken", "CAST(NULL AS LONG)")
+    placed = row.format("2", "taken", "item")
+    rows = met.where("kind = 0 OR key < 0").selectExpr(f"inline(CASE WHEN kind = 0 AND next = 1 THEN array({left}, {placed}) ELSE array({same}) END)")
+    return rows.groupBy("kind", "id", "item").agg(F.sum("size").alias("size")).select("kind", "id", "size", "item")
+
+
+def sequences_needed(pieces: dict[int, int], gaps: dict[int, int], capacity: int) -> int:
+    """How many sequences to open before a round: no packing of these pieces into these gaps opens fewer.
+
+    Both are counts by size, at most ``capacity`` numbers.  What is longer than every gap
+    needs new sequences, alone if longer than half of one, and so does what exceeds all gaps together.
+    """
+    most = max(gaps, default=0)
+    stuck = {size: n for size, n in pieces.items() if size > most}
+    over = sum(size * n for size, n in pieces.items()) - sum(size * n for size, n in gaps.items())
+    return max(-(-sum(size * n for size, n in stuck.items()) // capacity), sum(n for size, n in stuck.items() if 2 * size > capacity), -(-over // capacity), 0)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, table = sent.value
-        for batch in batches:
-            if batch.num_rows:
-                length = batch.column(names.index("length")).to_numpy()
-                rank = batch.column(len(names)).to_numpy()
-                run = table[np.searchsorted(keys, length * shift + rank, side="right") - 1]
-                cols = [batch.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"{c} {t}" for c, t in pieces.dtypes)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces (with length and a unique item) and sequence_id, offset."""
+    spark = pieces.sparkSession
+    names = pieces.columns
+    blocks = max(1, pieces.count() // BLOCK_ROWS)
+    state, placed, opened = pieces.selectExpr("1 AS kind", "item AS id", "length AS size"), [], 0
+    while True:
+        counts: dict[int, dict[int, int]] = {0: {}, 1: {}}
+        for r in state.where("kind < 2").groupBy("kind", "size").agg(F.count("*").alias("n")).collect():  # two for each size at most
+            counts[r["kind"]][r["size"]] = r["n"]
+        if not counts[1]:
+            break
+        least, longest = min(counts[1]), max(counts[1])
+        gaps = {size: n for size, n in counts[0].items() if size >= least}
+        more = sequences_needed(counts[1], gaps, capacity)
+        each = -(-sum(counts[1].values()) // (sum(gaps.values()) + more))
+        free = state.where(f"kind = 0 AND size >= {least}").select("id", "size").unionByName(spark.range(opened, opened + more).selectExpr("id", f"{capacity}L AS size"))
+        opened += more
+        state = materialize(match(state.where("kind = 1").select("kind", "id", "size").unionByName(offer(free, longest, each)), blocks), "round")
+        placed.append(state.where("kind = 2").selectExpr("item", "id AS sequence_id"))
+    if not placed:
+        return pieces.selectExpr(*names, "0L AS sequence_id", "0L AS offset")
+    before = "OVER (PARTITION BY sequence_id ORDER BY length DESC, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"  # a sequence has at most capacity pieces
+    return pieces.join(reduce(DataFrame.unionByName, placed), "item").selectExpr(*names, "sequence_id", f"coalesce(sum(length) {before}, 0L) AS offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
-    pieces = materialize(cut_documents(docs, tokenizer, capacity), "pieces")  # tokenized once
-    return pack_pieces(pieces, capacity)
+    cut = cut_documents(docs, tokenizer, capacity).withColumn("item", F.monotonically_increasing_id())
+    return pack_pieces(materialize(cut, "pieces"), capacity).drop("item")  # tokenized once, items fixed

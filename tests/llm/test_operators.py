@@ -560,31 +560,55 @@ def test_packing(spark, texts):
         filled[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(filled.values()) <= 2048 and len(filled) <= math.ceil(sum(r["length"] for r in out) / 2048) + 1
     assert packing.pack_documents(make(spark, texts).limit(0), WORDS).count() == 0
-
-
-def test_plan_is_best_fit():
+    again = packing.pack_documents(make(spark, ["a b c", "a b c", None], [7, 7, None]), WORDS).collect()
+    assert sorted((str(r["doc_id"]), r["length"]) for r in again) == [("7", 4), ("7", 4), ("None", 1)] and {r["offset"] for r in again} == {0, 4, 8}
+
+
+def best_fit(sizes, capacity):
+    """Gaps of best fit decreasing, one piece at a time."""
+    gaps: list[int] = []
+    for s in sorted(sizes, reverse=True):
+        fit = [g for g in gaps if g >= s]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else capacity) - s)
+    return gaps
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_round_gives_each_gap_the_piece_of_best_fit(spark, blocks):
+    rng = random.Random(blocks)
+    sizes, gaps = [rng.randint(1, 60) for _ in range(300)], [rng.randint(1, 60) for _ in range(250)]
+    sizes += [30] * 100  # a hot length
+    state = spark.createDataFrame([(0, i, g) for i, g in enumerate(gaps)] + [(1, i, s) for i, s in enumerate(sizes)], "kind int, id long, size long")
+    got = packing.match(state, blocks).collect()
+    free, want = sorted(gaps), []
+    for s in sorted(sizes, reverse=True):
+        fit = [g for g in free if g >= s]
+        if fit:
+            free.remove(min(fit))
+            want.append((s, min(fit)))
+    placed = [r for r in got if r["kind"] == 2]
+    assert sorted((r["size"], gaps[r["id"]]) for r in placed) == sorted(want)
+    assert all(sizes[r["item"]] == r["size"] for r in placed) and len({r["item"] for r in placed}) == len(placed)
+    taken = {r["id"]: r["size"] for r in placed}
+    assert {r["id"]: r["size"] for r in got if r["kind"] == 0} == {i: g - taken.get(i, 0) for i, g in enumerate(gaps)}
+    assert {r["id"] for r in got if r["kind"] == 1} == set(range(len(sizes))) - {r["item"] for r in placed}
+
+
+@pytest.mark.parametrize("kind", ["mixed", "tiny", "equal", "halves"])
+def test_rounds_open_hardly_more_sequences_than_best_fit(spark, kind):
     rng = random.Random(5)
-    for _ in range(30):
-        sizes = [rng.randint(1, 100) for _ in range(rng.randint(1, 200))]
-        runs = packing.plan(dict(Counter(sizes)), 100)
-        placed: dict = {}
-        for length, rank, n, first, offset in runs:
-            for k in range(n):
-                placed.setdefault(first + k, []).append((offset, length))
-        assert sorted(x for v in placed.values() for _, x in v) == sorted(sizes)
-        for v in placed.values():
-            end = 0
-            for offset, length in sorted(v):
-                assert offset == end
-                end += length
-            assert end <= 100
-        gaps: list[int] = []
-        for s in sorted(sizes, reverse=True):  # one at a time
-            fit = [g for g in gaps if g >= s]
-            if fit:
-                gaps.remove(min(fit))
-            gaps.append((min(fit) if fit else 100) - s)
-        assert len(placed) == len(gaps)
+    sizes = {"mixed": [rng.randint(1, 100) for _ in range(400)], "tiny": [rng.randint(1, 4) for _ in range(900)], "equal": [34] * 90, "halves": [50, 51] * 40}[kind]
+    pieces = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
+    got = packing.pack_pieces(pieces, 100).collect()
+    assert sorted((r["item"], r["length"]) for r in got) == list(enumerate(sizes))
+    filled: dict = {}
+    for r in sorted(got, key=lambda r: r["offset"]):
+        assert filled.get(r["sequence_id"], 0) == r["offset"]
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    best = len(best_fit(sizes, 100))
+    assert max(filled.values()) <= 100 and len(filled) <= best + max(1, best // 50)
 
 
 # --- language model --------------------------------------------------------------------------
