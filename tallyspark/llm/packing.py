@@ -41,8 +41,8 @@ CACHE_WORDS = 1_000_000
 #: ASCII marks but the apostrophe, and what may stand before them where they are cut off an ASCII part.
 _MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'")
 _PLAIN_END = re.compile(rb"[a-z0-9]\Z")
-#: Rows of one size that are ranked together, about.
-BLOCK_ROWS = 1_000_000
+#: Blocks that the rows of one size are ranked in, at least, and rows in such a block, about.
+BLOCKS, BLOCK_ROWS = 64, 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -170,17 +170,20 @@ def match(state: DataFrame, blocks: int) -> DataFrame:
     the placed pieces: sequence, length and item.
     """
     salted = state.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    order = "OVER (ORDER BY size DESC, kind, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    runs = (  # at most two rows for each size and block
-        salted.groupBy("size", "kind", "block").agg(F.count("*").alias("n"))
-        .selectExpr("size", "kind", "block", f"sum(IF(kind = 0, n, -n)) {order} AS total")
-        .selectExpr("size", "kind", "block", f"total - least(0, min(total) {order}) AS after")
-        .selectExpr("size", "kind", "block", "lag(after, 1, 0L) OVER (ORDER BY size DESC, kind, block) AS depth")
+    order = "OVER (ORDER BY size DESC, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    blocked = salted.groupBy("size", "kind", "block").agg(F.count("*").alias("n"))
+    classes = (  # two rows for each size at most
+        blocked.groupBy("size", "kind").agg(F.sum("n").alias("n"))
+        .selectExpr("size", "kind", f"sum(IF(kind = 0, n, -n)) {order} AS total")
+        .selectExpr("size", "kind", f"total - least(0, min(total) {order}) AS after")
+        .selectExpr("size", "kind", "lag(after, 1, 0L) OVER (ORDER BY size DESC, kind) AS depth")
     )
+    runs = blocked.selectExpr("size", "kind", "block", "sum(n) OVER (PARTITION BY size, kind ORDER BY block) - n AS before").join(F.broadcast(classes), ["size", "kind"])
     ranked = salted.selectExpr("*", "row_number() OVER (PARTITION BY size, kind, block ORDER BY id) - 1 AS r").join(runs, ["size", "kind", "block"])
+    ranked = ranked.selectExpr("size", "kind", "id", "depth", "before + r AS r")
     # pieces without a gap get negative keys of their own, so that they are no hot key
-    keyed = ranked.selectExpr("size", "kind", "block", "id", "CASE WHEN kind = 0 THEN depth + r WHEN r < depth THEN depth - 1 - r ELSE -1 - abs(xxhash64(id) DIV 2) END AS key")
-    within = "OVER (PARTITION BY key ORDER BY size DESC, kind, block, id)"
+    keyed = ranked.selectExpr("size", "kind", "id", "CASE WHEN kind = 0 THEN depth + r WHEN r < depth THEN depth - 1 - r ELSE -1 - abs(xxhash64(id) DIV 2) END AS key")
+    within = "OVER (PARTITION BY key ORDER BY size DESC, kind, id)"
     met = keyed.selectExpr("size", "kind", "id", "key", f"lead(kind) {within} AS next", f"lead(id) {within} AS item", f"lead(size) {within} AS taken")
     row = "named_struct('kind', {}, 'id', id, 'size', {}, 'item', {})"
     same = row.format("kind", "size", "CAST(NULL AS LONG)")
@@ -206,7 +209,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (with length and a unique item) and sequence_id, offset."""
     spark = pieces.sparkSession
     names = pieces.columns
-    blocks = max(1, pieces.count() // BLOCK_ROWS)
+    blocks = max(BLOCKS, pieces.count() // BLOCK_ROWS)
     state, placed, opened = pieces.selectExpr("1 AS kind", "item AS id", "length AS size"), [], 0
     while True:
         counts: dict[int, dict[int, int]] = {0: {}, 1: {}}
