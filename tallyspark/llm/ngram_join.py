@@ -251,7 +251,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     A bitmap of bounded size drops most other texts before anything is moved; the
     join after it is exact.
     """
-    n_bits = min(BITMAP_BITS, 1 << max(10, (16 * n_wanted).bit_length()))
+    n_bits = min(BITMAP_BITS, 1 << max(10, (128 * n_wanted).bit_length()))
     at = F.pmod(F.xxhash64("doc_id"), F.lit(n_bits))
     bits = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(n_bits)).alias("at"))
     bits = bits.groupBy(F.expr("at div 32").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 AS int))")).alias("bits")).toArrow()
@@ -268,7 +268,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([class_of(s) for s in sets]), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "cls", "shingles"])
 
     found = docs.where("doc_id IS NOT NULL").withColumn("at", at).mapInArrow(run, "doc_id long, cls long, shingles array<long>")
-    found = found.join(wanted, "cls").where("doc_id = rep")
+    # dealt by cls alone, and so that a join that turns into a broadcast while running keeps it: the sets move once.
+    # An equality of the ids would become a second key of the join, and the grouping would move the sets again.
+    found = found.repartition("cls").join(wanted, "cls").where("doc_id BETWEEN rep AND rep")
     return found.groupBy("cls").agg(F.first("shingles").alias("shingles"))  # ids may be repeated
 
 

@@ -529,6 +529,17 @@ def test_ngram_join_edges(spark, texts):
     assert ngram_join.keep_one(clash).columns == clash.columns and ngram_join.keep_one(clash.limit(0)).count() == 0
 
 
+def test_ngram_join_sets_are_dealt_once(spark, texts):
+    """The sets are dealt by class before the join with the wanted classes, and not again for the grouping after it."""
+    reps = {ngram_join.class_of(s): i for i, s in reversed(list(enumerate(map(ngram_join.shingles, texts)))) if len(s)}
+    wanted = spark.createDataFrame(list(reps.items()), "cls long, rep long")
+    sets = ngram_join._sets(make(spark, texts).select("doc_id", "text"), wanted, wanted.count())
+    above, join, below = sets._jdf.queryExecution().executedPlan().toString().partition("Join")
+    assert join and "Exchange" not in above
+    assert len(re.findall(r"Exchange hashpartitioning\(cls#\S+, \d+\), REPARTITION_BY_COL", below)) == 1
+    assert {r["cls"]: r["shingles"] for r in sets.collect()} == {ngram_join.class_of(s): s.tolist() for s in map(ngram_join.shingles, texts) if len(s)}
+
+
 def test_ngram_join_sql(spark, texts, tmp_path):
     import duckdb
 
