@@ -18,31 +18,37 @@ from __future__ import annotations
 import public_tokenizers
 
 from tallyspark.llm import ngram_join, packing, quality, secrets, toxicity
-from tallyspark.llm.common import discard, materialize, read_table, small_batches
+from tallyspark.llm.common import discard, materialize, read_table, release, small_batches
 
 
-def drop_toxic(spark, docs, sf_dir):
+def begin(spark):
+    """Before each stage: small Arrow batches, and a driver without the remains of the stage before."""
     small_batches(spark)
+    release(spark)
+
+
+def drop_toxic(spark, docs, sf_dir):
+    begin(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_poor(spark, docs, sf_dir):
-    small_batches(spark)
+    begin(spark)
     return quality.keep_good(docs, quality.fit(docs, quality.graded(read_table(spark, sf_dir, "labels")), top=2))
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    small_batches(spark)
+    begin(spark)
     return ngram_join.keep_one(docs)
 
 
 def redact_secrets(spark, docs, sf_dir):
-    small_batches(spark)
+    begin(spark)
     return secrets.redact(docs)
 
 
 def pack(spark, docs, sf_dir):
-    small_batches(spark)
+    begin(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

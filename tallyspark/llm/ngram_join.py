@@ -45,7 +45,6 @@ rows and ties of doc_id give one result row each; further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices
+from .common import discard, materialize, release, slices
 from .components import connected_components
 
 WORDS = 5
@@ -409,12 +408,6 @@ def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
     return (named if tried is None else named.join(tried, ["least", "most"], "left_anti")).select("hub", "member")
 
 
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
@@ -426,14 +419,14 @@ def join_documents(docs: DataFrame) -> DataFrame:
     sharing = sharing_classes(short_lists(texts, levels))
     wanted = materialize(sharing.join(classes, "cls"), "wanted")
     discard(sharing)
-    _release(spark)
+    release(spark)
     sets = materialize(_sets(texts, wanted, wanted.count()), "sets")
     discard(wanted)
     # at first a class is alone in its component
     lists = materialize(head_lists(sets, levels).withColumn("comp", F.col("cls")), "lists-0")
     every, tried, used = None, None, []
     for turn, some in enumerate((0, *STANDING, None)):
-        _release(spark)
+        release(spark)
         pairs = _cross_pairs(lists, some) if turn else _hub_pairs(lists)
         pairs = materialize(_untried(pairs, tried), f"pairs-{turn}")
         links = _links(pairs, sets, f"links-{turn}")
@@ -446,7 +439,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
             before, lists = lists, materialize(_named(lists, labels), f"lists-{turn + 1}")
             discard(before)
             discard(labels)
-    _release(spark)
+    release(spark)
     final = connected_components(every, "joined")
     for df in (lists, sets, *used):
         discard(df)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, release, slices
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -217,6 +217,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             counts[r["kind"]][r["size"]] = r["n"]
         if not counts[1]:
             break
+        release(spark)
         least, longest = min(counts[1]), max(counts[1])
         gaps = {size: n for size, n in counts[0].items() if size >= least}
         more = sequences_needed(counts[1], gaps, capacity)

@@ -4,7 +4,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from tallyspark.llm import quality, toxicity
+from tallyspark.llm import common, packing, quality, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +58,15 @@ def test_run_equals_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF).select(*cols).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, stages[5].select(*cols).collect()))
     assert pq.read_metadata(f"{SF}/documents.parquet").num_rows >= len({r["doc_id"] for r in got})
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    assert "native heap" in common.release(spark)  # the JVM's own words
+    called = []
+    monkeypatch.setattr(corpus_pipeline, "release", called.append)
+    monkeypatch.setattr(packing, "release", called.append)
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d")], "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[2:]:
+        before = len(called)
+        stage(spark, docs, SF)
+        assert len(called) > before + (name == "packing"), name
