@@ -7,8 +7,9 @@ predicts p(class of the next word's subword id | context) * p(word | class).  Th
 frequent subword ids are classes of their own, the others are clustered by what
 precedes them.  The class distribution is a softmax over bigram logits of the
 preceding class plus the output of causal self-attention over ``WINDOW`` preceding
-subword ids; p(word | class) comes from word counts, with one more added to each
-word of the class and to one unknown word.
+subword ids, taken in two levels, ``GROUPS`` of classes and the classes of a group;
+p(word | class) comes from word counts, with one more added to each word of the class
+and to one unknown word.
 
 Windows overlap: each token is scored once, and after the first window it has at
 least ``WINDOW - STRIDE`` tokens before it.  Windows of many texts go through masked
@@ -40,6 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -57,7 +59,11 @@ PAGE_BATCH = 16
 HOT_WORDS = 1 << 18
 SINGLES, CLUSTERS = 144, 47
 CLASSES = SINGLES + CLUSTERS + 1
-END, START = 0, CLASSES
+#: Classes of a group of the two-level softmax.
+GROUP = 24
+GROUPS = CLASSES // GROUP
+#: Symbols that are no class of a word: the end, the start, and what fills a window in front of the start, which no place sees.
+END, START, PAD = 0, CLASSES, CLASSES + 1
 HEADS, DIM = 2, 8
 WINDOW, STRIDE = 32, 24
 #: Ids of the subword vocabulary, and the longest entry that is looked up, in bytes.
@@ -65,12 +71,12 @@ VOCAB, LONGEST = 50_257, 16
 LN10 = np.log(10.0)
 
 
-def q_scale(like: np.ndarray):
-    return like.dtype.type(DIM**-0.5)
-
-
 class Attention:
-    """One layer of causal self-attention over class symbols, with relative positions."""
+    """One layer of causal self-attention over class symbols, with relative positions.
+
+    The softmax over classes has two levels, GROUPS of classes and the classes of a group; both
+    start from the same bigram logits, so that without attention it is the bigram softmax.
+    """
 
     def __init__(self, bigram: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -81,61 +87,80 @@ class Attention:
             "pos": np.zeros((HEADS, WINDOW), dtype=np.float32), "out": draw(HEADS * DIM, CLASSES) * 0.1, "bias": np.zeros(CLASSES, dtype=np.float32),
         }
         self.w["pos"][0] = -0.5 * np.arange(WINDOW)  # one head starts out local, the other global
+        self.w["group"], self.w["group_bias"] = draw(HEADS * DIM, GROUPS) * 0.1, np.zeros(GROUPS, dtype=np.float32)
 
-    def _attend(self, x: np.ndarray) -> tuple[np.ndarray, list]:
-        t = x.shape[1]
-        gap = np.arange(t)[:, None] - np.arange(t)[None, :]
-        mask = gap < 0
-        outs, kept = [], []
-        for h in range(HEADS):
-            q, k, v = self.w["q"][h][x], self.w["k"][h][x], self.w["v"][h][x]
-            s = q @ k.transpose(0, 2, 1)
-            s *= np.float32(DIM**-0.5)
-            s += self.w["pos"][h][np.abs(gap)]
-            s[:, mask] = -1e9
-            s -= s.max(2, keepdims=True)
-            np.exp(s, out=s)
-            s /= s.sum(2, keepdims=True)
-            outs.append(s @ v)
-            kept.append((q, k, v, s))
-        return np.concatenate(outs, 2), kept
-
-    def log_probabilities(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        """Natural log of p(y | x up to its place) where scored, in row order.
+    def _attend(self, x: np.ndarray, lead: int) -> tuple[np.ndarray, tuple]:
+        """What the places from lead on see, (windows, places, HEADS * DIM), and what the gradients need of it.
 
-        The same as training computes, with fewer passes over memory: what lies ahead
-        is masked by one added matrix, weights are divided by their sum last, and the
-        largest logit is only taken off where it could matter.
+        A score depends on two symbols and a distance: exp is taken once for all pairs of symbols and
+        once for all distances, and looked up.  Where it could overflow, the scores are looked up instead.
         """
-        t = x.shape[1]
-        gap = np.arange(t)[:, None] - np.arange(t)[None, :]
-        a = np.empty((*x.shape, HEADS * DIM), dtype=self.w["v"].dtype)
+        n, t = x.shape
+        dtype = self.w["v"].dtype
+        gap = np.arange(lead, t)[:, None] - np.arange(t)[None, :]
+        at = x[:, lead:, None] * (CLASSES + 2) + x[:, None, :]
+        seen = np.zeros((CLASSES + 2, HEADS, DIM + 1), dtype=dtype)  # a column of ones gives the sum of weights
+        seen[:-1, :, :DIM] = self.w["v"].transpose(1, 0, 2)
+        seen[:, :, DIM] = 1
+        v = seen.reshape(CLASSES + 2, -1).take(x, 0)
+        o = np.empty((n, t - lead, HEADS, DIM + 1), dtype=dtype)
+        weights = []
         for h in range(HEADS):
-            q, k, v = self.w["q"][h][x], (self.w["k"][h] * q_scale(self.w["k"]))[x], self.w["v"][h][x]
-            s = q @ k.transpose(0, 2, 1)
-            s += np.where(gap < 0, -1e9, self.w["pos"][h][np.abs(gap)]).astype(s.dtype)
-            if not self._small(h):
-                s -= s.max(2, keepdims=True)
-            np.exp(s, out=s)
-            o = s @ v
-            o /= s.sum(2, keepdims=True)
-            a[:, :, h * DIM : (h + 1) * DIM] = o
-        logits = a[scored] @ self.w["out"]
-        logits += (self.bigram + self.w["bias"])[x[scored]]
-        target = logits[np.arange(len(logits)), y[scored]].astype(np.float64)
-        reach = np.abs(self.w["v"]).max(1).ravel() @ np.abs(self.w["out"])  # how far attention can move a logit
-        if float(reach.max() + np.abs(self.bigram + self.w["bias"]).max()) < 60:
-            np.exp(logits, out=logits)
-            return target - np.log(logits.sum(1))
-        top = logits.max(1)
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        return target - top - np.log(logits.sum(1))
-
-    def _small(self, h: int) -> bool:
-        """Whether no score of a head can overflow, or vanish where a place sees itself only."""
-        most = np.linalg.norm(self.w["q"][h], axis=1).max() * np.linalg.norm(self.w["k"][h], axis=1).max() * DIM**-0.5
-        return float(most + np.abs(self.w["pos"][h]).max()) < 60
+            pairs = (self.w["q"][h] * dtype.type(DIM**-0.5)) @ self.w["k"][h].T
+            pos = np.where(gap < 0, dtype.type(-1e9), self.w["pos"][h][np.abs(gap)])
+            table = np.full((CLASSES + 2, CLASSES + 2), -1e9, dtype=dtype)
+            table[:-1, :-1] = pairs
+            if float(np.abs(pairs).max() + np.abs(self.w["pos"][h]).max()) < 40:
+                e = np.exp(table, out=table).ravel().take(at)
+                e *= np.exp(pos)
+            else:
+                e = table.ravel().take(at)
+                e += pos
+                e -= e.max(2, keepdims=True)
+                np.exp(e, out=e)
+            np.matmul(e, v[:, :, h * (DIM + 1) : (h + 1) * (DIM + 1)], out=o[:, :, h])
+            weights.append(e)
+        a = o[..., :DIM] / o[..., DIM:]
+        return a.reshape(n, t - lead, -1), (at, v, weights, o[..., DIM:])
+
+    def _starts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of groups and of classes within them, by the symbol before and before attention adds to them."""
+        if getattr(self, "_of", None) is not self.bigram:
+            top = self.bigram.max(1, keepdims=True)
+            groups = np.exp((self.bigram - top).astype(np.float64)).reshape(-1, GROUPS, GROUP).sum(2)
+            self._of, self._groups = self.bigram, (np.log(np.maximum(groups, 1e-300)) + top).astype(self.bigram.dtype)
+        return self._groups + self.w["group_bias"], (self.bigram + self.w["bias"]).reshape(-1, GROUP)
+
+    def _predict(self, a: np.ndarray, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple:
+        """For scored places by the group of their target: place, what it sees, group, ends of groups, and the logits of both levels with their targets."""
+        place = np.flatnonzero(scored)
+        target = y[scored]
+        order = np.argsort((target // GROUP).astype(np.uint8), kind="stable")
+        target = target[order]
+        group = target // GROUP
+        place_ = place[order]
+        seen = a.reshape(-1, HEADS * DIM).take(place_, 0)
+        before = x[scored][order]
+        of_groups, of_classes = self._starts()
+        upper = of_groups.take(before, 0)
+        upper += seen @ self.w["group"]
+        lower = of_classes.take(before * GROUPS + group, 0)
+        ends = np.cumsum(np.bincount(group, minlength=GROUPS))
+        for g, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            if hi > lo:
+                lower[lo:hi] += seen[lo:hi] @ self.w["out"][:, g * GROUP : (g + 1) * GROUP]
+        return order, place_, seen, ends, (upper, group), (lower, target % GROUP)
+
+    def log_probabilities(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """Natural log of p(y | x up to its place) where scored, in row order."""
+        lead = int(scored.any(0).argmax())
+        a, _ = self._attend(x, lead)
+        order, _, _, _, *levels = self._predict(a, x[:, lead:], y[:, lead:], scored[:, lead:])
+        out = np.zeros(len(order))
+        for logits, target in levels:
+            total = _exp(logits)
+            out[order] += np.log(logits[np.arange(len(logits)), target].astype(np.float64) / total)
+        return out
 
     def start(self) -> None:
         """Adam's moments and number of steps, before the first pass."""
@@ -160,65 +185,101 @@ class Attention:
         order = np.random.default_rng((11, epoch)).permutation(len(x))
         t = x.shape[1]
         gap = np.abs(np.arange(t)[:, None] - np.arange(t)[None, :])
+        w, m, u = (np.concatenate([v.ravel() for v in part.values()]) for part in (self.w, self.m, self.u))
+        self.w, self.m, self.u = (_views(flat, part) for flat, part in ((w, self.w), (m, self.m), (u, self.u)))
         for at in range(0, len(x), batch):
             rows = order[at : at + batch]
             fix = (1 - 0.99 ** (self.step + 1)) ** 0.5 / (1 - 0.9 ** (self.step + 1))
             now = np.float32(rate * (1 - (epoch + at / len(x)) / EPOCHS) * fix)
-            for k, g in self._gradients(x[rows], y[rows], scored[rows], gap).items():
-                self.m[k] += 0.1 * (g - self.m[k])
-                self.u[k] += 0.01 * (g * g - self.u[k])
-                self.w[k] -= now * self.m[k] / (np.sqrt(self.u[k]) + np.float32(1e-7))
+            found = self._gradients(x[rows], y[rows], scored[rows], gap)
+            g = np.concatenate([found[k].ravel() for k in self.w])
+            m += np.float32(0.1) * (g - m)
+            g *= g
+            g -= u
+            u += np.float32(0.01) * g
+            np.sqrt(u, out=g)
+            g += np.float32(1e-7)
+            np.divide(m, g, out=g)
+            g *= now
+            w -= g
             self.step += 1
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, gap: np.ndarray) -> dict[str, np.ndarray]:
-        a, kept = self._attend(x)
-        seen = a[scored]
-        p = (self.bigram + self.w["bias"])[x[scored]]  # one array of this size, worked on in place
-        p += seen @ self.w["out"]
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p *= 1 / (p.sum(1, keepdims=True) * max(1, len(p)))
-        p[np.arange(len(p)), y[scored]] -= 1 / max(1, len(p))
-        g = {"out": seen.T @ p, "bias": p.sum(0)}
-        da = np.zeros_like(a)
-        da[scored] = p @ self.w["out"].T
-        for name in ("q", "k", "v", "pos"):
-            g[name] = np.zeros_like(self.w[name])
-        flat = x.ravel()
-        for h, (q, k, v, s) in enumerate(kept):
-            d = da[:, :, h * DIM : (h + 1) * DIM]
-            ds = d @ v.transpose(0, 2, 1)
-            ds = s * (ds - (ds * s).sum(2, keepdims=True))
-            g["pos"][h] = np.bincount(gap.ravel(), ds.sum(0).ravel(), WINDOW)
-            ds *= np.float32(DIM**-0.5)
-            for name, grad in (("v", s.transpose(0, 2, 1) @ d), ("q", ds @ k), ("k", ds.transpose(0, 2, 1) @ q)):
-                grad = grad.reshape(-1, DIM)
-                for j in range(DIM):
-                    g[name][h][:, j] = np.bincount(flat, grad[:, j], CLASSES + 1)
+        lead = int(scored.any(0).argmax())
+        a, (at, v, weights, sums) = self._attend(x, lead)
+        _, place, seen, ends, (upper, group), (lower, within) = self._predict(a, x[:, lead:], y[:, lead:], scored[:, lead:])
+        n, rows, ones = max(1, len(seen)), np.arange(len(seen)), np.ones(len(seen), dtype=a.dtype)
+        for logits, target in ((upper, group), (lower, within)):
+            logits *= (1 / (_exp(logits) * n))[:, None]
+            logits[rows, target] -= 1 / n
+        g = {k: np.zeros_like(self.w[k]) for k in ("q", "k", "v", "pos", "out", "bias")}
+        g["group"], g["group_bias"] = seen.T @ upper, ones @ upper
+        d = upper @ self.w["group"].T
+        for j, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            if hi > lo:
+                own = slice(j * GROUP, (j + 1) * GROUP)
+                g["out"][:, own] = seen[lo:hi].T @ lower[lo:hi]
+                g["bias"][own] = ones[lo:hi] @ lower[lo:hi]
+                d[lo:hi] += lower[lo:hi] @ self.w["out"][:, own].T
+        da = np.zeros_like(a).reshape(-1, HEADS * DIM)
+        da[place] = d
+        da = da.reshape(*a.shape[:2], HEADS, DIM)
+        ds = np.empty((*da.shape[:3], DIM + 1), dtype=a.dtype)
+        np.divide(da, sums, out=ds[..., :DIM])
+        ds[..., DIM] = -np.einsum("nthd,nthd->nth", ds[..., :DIM], a.reshape(da.shape))
+        dv = np.empty((*x.shape, HEADS, DIM), dtype=a.dtype)
+        at, distance = at.ravel(), gap[lead:].ravel()
+        for h, e in enumerate(weights):
+            np.matmul(e.transpose(0, 2, 1), ds[:, :, h, :DIM], out=dv[:, :, h])
+            e *= ds[:, :, h] @ v[:, :, h * (DIM + 1) : (h + 1) * (DIM + 1)].transpose(0, 2, 1)
+            g["pos"][h] = np.bincount(distance, e.sum(0).ravel(), WINDOW)
+            pairs = np.bincount(at, e.ravel(), (CLASSES + 2) ** 2).reshape(CLASSES + 2, -1)[:-1, :-1].astype(a.dtype)
+            pairs *= a.dtype.type(DIM**-0.5)
+            g["q"][h], g["k"][h] = pairs @ self.w["k"][h], pairs.T @ self.w["q"][h]
+        width = HEADS * DIM
+        flat = (x.ravel()[:, None] * width + np.arange(width)).ravel()
+        g["v"][:] = np.bincount(flat, dv.ravel(), (CLASSES + 2) * width).reshape(-1, HEADS, DIM)[:-1].transpose(1, 0, 2)
         return g
 
 
+def _exp(logits: np.ndarray) -> np.ndarray:
+    """Turns logits into their exp in place, less the largest of a row where that could matter; returns sums of rows."""
+    if logits.size and (float(logits.max()) > 60 or float(logits.min()) < -60):
+        logits -= logits.max(1)[:, None]
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], dtype=logits.dtype)
+
+
+def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Parts of one vector in the shapes of like."""
+    ends = np.cumsum([v.size for v in like.values()])
+    return {k: part.reshape(v.shape) for (k, v), part in zip(like.items(), np.split(flat, ends[:-1]), strict=True)}
+
+
 def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets, which places count, and each window's text, for the class sequences of texts.
 
     A text of n ids has n + 1 targets, the last one END; every target counts in exactly one window.
+    The last STRIDE places of a window count; the others are those before, PAD in front of a text.
     """
     lengths = np.array([len(c) + 1 for c in classes])
-    each = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
+    each = -(-lengths // STRIDE)
     text = np.repeat(np.arange(len(classes)), each)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
     base = np.cumsum(lengths) - lengths
-    x = np.empty(int(lengths.sum()), dtype=np.int64)
+    x = np.empty(int(lengths.sum()) + 1, dtype=np.int64)
     y = np.empty_like(x)
-    for c, b, n in zip(classes, base, lengths, strict=True):
-        x[b] = START
-        x[b + 1 : b + n] = c
-        y[b : b + n - 1] = c
-        y[b + n - 1] = END
-    place = nth[:, None] * STRIDE + np.arange(WINDOW)[None, :]
-    inside = place < lengths[text][:, None]
-    at = np.where(inside, base[text][:, None] + place, base[text][:, None])
-    scored = inside & ((nth[:, None] == 0) | (np.arange(WINDOW)[None, :] >= WINDOW - STRIDE))
+    ids = np.concatenate(classes) if len(classes) else x[:0]
+    inner = np.ones(len(x), dtype=bool)
+    inner[base] = inner[-1] = False
+    x[inner], x[base], x[-1] = ids, START, PAD
+    inner[:] = True
+    inner[base + lengths - 1] = inner[-1] = False
+    y[inner], y[base + lengths - 1], y[-1] = ids, END, END
+    place = nth[:, None] * STRIDE + np.arange(STRIDE - WINDOW, STRIDE)[None, :]
+    inside = (place >= 0) & (place < lengths[text][:, None])
+    at = np.where(inside, base[text][:, None] + place, np.where(place < 0, len(x) - 1, base[text][:, None]))
+    scored = inside & (np.arange(WINDOW) >= WINDOW - STRIDE)[None, :]
     return x[at], y[at], scored, text
 
 
@@ -279,7 +340,7 @@ def write_pages(docs: DataFrame, tokenizer: str, n_docs: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(tokenizer)
         for batch in slices(batches):
-            ids = [reader.first[x].astype(np.uint16).tobytes() for x in reader(batch.column(1).to_pylist())]
+            ids = [reader.first[x].astype(np.uint16).tobytes() for x in reader(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,42 +427,49 @@ def train_pass(pages: DataFrame, class_of: np.ndarray, attention: Attention, epo
 
 
 class Reader:
-    """Texts as arrays of numbers of words; for each word its first subword id and its hash.
-
-    Remembers ``bound`` words; before it forgets them, and with them their numbers, it calls forget.
-    """
-
-    def __init__(self, tokenizer: str, bound: int = 1_000_000, forget=lambda: None):
-        self.ranks, self.bound, self.forget = load_ranks(tokenizer), bound, forget
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.first = np.zeros(0, dtype=np.int64)
-        self.hashes = np.zeros(0, dtype=np.int64)
+    """Texts as arrays of numbers of words; for each word of the last call its first subword id and its hash."""
+
+    def __init__(self, tokenizer: str):
+        self.ranks = load_ranks(tokenizer)
+        spaced: dict[int, list[bytes]] = {}
+        for entry in self.ranks:
+            if entry.startswith(b" ") and 1 < len(entry) <= LONGEST:
+                spaced.setdefault(len(entry) - 1, []).append(entry[1:])
+        #: By length, longest first: entries without the space before them, and their ids.
+        self.entries = [(n, pa.array(found, pa.binary()), np.array([self.ranks[b" " + x] for x in found])) for n, found in sorted(spaced.items(), reverse=True)]
+        self.first = self.hashes = np.zeros(0, dtype=np.int64)
 
     def subword(self, word: bytes) -> int:
         """The id of the longest entry that begins the word behind a space."""
-        spaced, ranks = b" " + word[: LONGEST - 1], self.ranks
-        for end in range(len(spaced), 0, -1):
-            found = ranks.get(spaced[:end])
-            if found is not None:
-                return found
-        return VOCAB - 1
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-        new = {w for words in split for w in words if w not in self.index}
-        if len(self.index) + len(new) > self.bound:
-            self.forget()
-            self.clear()
-            new = {w for words in split for w in words}
-        if new:
-            new = sorted(new)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.first = np.concatenate([self.first, np.fromiter(map(self.subword, new), np.int64, len(new))])
-            self.hashes = np.concatenate([self.hashes, np.fromiter((xxhash.xxh3_64_intdigest(w) for w in new), np.uint64, len(new)).view(np.int64)])
-        return [np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)) for words in split]
+        return int(self.subwords(pa.array([word], pa.binary()))[0])
+
+    def subwords(self, words: pa.Array) -> np.ndarray:
+        """For all words at once: what is not yet found is looked up by its first 15 bytes, 14 and so on."""
+        out = np.full(len(words), self.ranks.get(b" ", VOCAB - 1), dtype=np.int64)
+        lengths, left = pc.binary_length(words).to_numpy(), np.arange(len(words))
+        for n, entries, ids in self.entries:
+            long = lengths[left] >= n
+            at = left[long]
+            if len(at):
+                hit = pc.fill_null(pc.index_in(pc.binary_slice(words.take(pa.array(at)), 0, n), entries), -1).to_numpy()
+                out[at[hit >= 0]] = ids[hit[hit >= 0]]
+                left = np.concatenate([left[~long], at[hit < 0]])
+        return out
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+        flat, at = split.flatten(), split.offsets.to_numpy()
+        kept = pc.binary_length(flat).to_numpy() > 0  # white space at an end leaves an empty word there
+        coded = flat.filter(pa.array(kept)).dictionary_encode()
+        words = coded.dictionary.cast(pa.binary())
+        self.first = self.subwords(words)
+        data, bounds = words.buffers()[2], np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset :][: len(words) + 1].tolist()
+        data = data.to_pybytes() if data else b""
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(data[lo:hi]) for lo, hi in zip(bounds, bounds[1:], strict=False)], dtype=np.uint64).view(np.int64)
+        found = coded.indices.to_numpy().astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(kept)])[at - at[0]].tolist()
+        return [found[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)]
 
 
 @dataclass
@@ -418,8 +486,8 @@ class Model:
         classes = [self.class_of[i] for i in ids]
         x, y, scored, text = windows(classes)
         out = np.zeros(len(ids))
-        for at in range(0, len(x), 128):
-            part = slice(at, at + 128)
+        for at in range(0, len(x), 256):
+            part = slice(at, at + 256)
             logp = self.attention.log_probabilities(x[part], y[part], scored[part])
             out += np.bincount(np.repeat(text[part], scored[part].sum(1)), logp, len(ids))
         return out / LN10 - np.array([self.class_log[c].sum() for c in classes])
@@ -429,26 +497,10 @@ def count_corpus(docs: DataFrame, tokenizer: str) -> DataFrame:
     """key, piece, n: hash, subword id and count of every word of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[pa.RecordBatch] = []
-        words = np.zeros(0, dtype=np.int64)  # how often the reader's words occurred
-
-        def flush() -> None:
-            nonlocal words
-            at = np.flatnonzero(words)
-            if len(at):
-                out.append(pa.RecordBatch.from_arrays([pa.array(reader.hashes[at], pa.int64()), pa.array(reader.first[at], pa.int32()), pa.array(words[at], pa.int64())], ["key", "piece", "n"]))
-            words = np.zeros(0, dtype=np.int64)
-
-        reader = Reader(tokenizer, forget=flush)
+        reader = Reader(tokenizer)
         for batch in slices(batches):
-            read = reader(batch.column(0).to_pylist())
-            known = np.zeros(len(reader.first), dtype=np.int64)
-            known[: len(words)] = words
-            words = known + np.bincount(np.concatenate(read), minlength=len(known))
-            yield from out
-            out.clear()
-        flush()
-        yield from out
+            n = np.bincount(np.concatenate(reader(batch.column(0))), minlength=len(reader.first))
+            yield pa.RecordBatch.from_arrays([pa.array(reader.hashes), pa.array(reader.first, pa.int32()), pa.array(n, pa.int64())], ["key", "piece", "n"])
 
     return docs.select("text").mapInArrow(run, "key long, piece int, n long").groupBy("key", "piece").agg(F.sum("n").alias("n"))
 
@@ -495,16 +547,11 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
         model, hot_word, hot_count = sent.value
         row = TaskContext.get().partitionId() << 40
         reader = Reader(tokenizer)
-        log_count = np.zeros(0)  # of the reader's words: log10 of count + 1 if hot, else NaN
         for batch in slices(batches):
-            read = reader(batch.column(1).to_pylist())
-            if len(log_count) > len(reader.first):
-                log_count = np.zeros(0)
-            h = reader.hashes[len(log_count) :]
-            if len(h):
-                at = np.minimum(np.searchsorted(hot_word, h), max(0, len(hot_word) - 1))
-                more = np.where(hot_word[at] == h, np.log10(hot_count[at] + 1.0), np.nan) if len(hot_word) else np.full(len(h), np.nan)
-                log_count = np.concatenate([log_count, more])
+            read = reader(batch.column(1))
+            h = reader.hashes  # of each: log10 of count + 1 if hot, else NaN
+            at = np.minimum(np.searchsorted(hot_word, h), max(0, len(hot_word) - 1))
+            log_count = np.where(hot_word[at] == h, np.log10(hot_count[at] + 1.0), np.nan) if len(hot_word) else np.full(len(h), np.nan)
             n_words, known, logs, rare = [], [], [], []
             for k, words in enumerate(read):
                 found = log_count[words]

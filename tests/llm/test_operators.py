@@ -9,7 +9,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, components, lm, mtree, multiset_hash, ngram_join, packing, quality, secrets, toxicity, url_filter
@@ -734,3 +736,47 @@ def test_gradients():
             loss.append(-a.log_probabilities(x, y, scored).mean())
         a.w[name][at] = keep
         assert np.isclose(g[name][at], (loss[0] - loss[1]) / 2e-4, rtol=2e-2, atol=1e-6), name
+
+
+def test_windows_ask_for_nothing_before_their_stride():
+    """Places that do not count need no scores of their own, and what fills a window in front of a text is seen by none."""
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(1, 50, n) for n in (0, 1, 23, 24, 60, 300)]
+    x, y, scored, text = lm.windows(texts)
+    assert not scored[:, : lm.WINDOW - lm.STRIDE].any() and (x[scored] != lm.PAD).all()
+    a = lm.Attention(rng.standard_normal((lm.CLASSES + 1, lm.CLASSES)))
+    got = np.bincount(np.repeat(text, scored.sum(1)), a.log_probabilities(x, y, scored), len(texts))
+    for t, total in zip(texts[:4], got, strict=False):  # one plain window from the start
+        own = np.concatenate([[lm.START], t])[None, :]
+        end = np.concatenate([t, [lm.END]])[None, :]
+        if own.shape[1] <= lm.STRIDE:
+            assert np.isclose(a.log_probabilities(own, end, np.ones(own.shape, dtype=bool)).sum(), total, rtol=1e-4)
+
+
+def test_two_levels_are_the_bigram_softmax_without_attention():
+    rng = np.random.default_rng(4)
+    a = lm.Attention(rng.standard_normal((lm.CLASSES + 1, lm.CLASSES)) * 3)
+    for name in ("out", "group"):
+        a.w[name][:] = 0
+    x, y = rng.integers(0, lm.CLASSES, (2, 5, lm.WINDOW))
+    want = a.bigram[x].astype(float)
+    want -= np.log(np.exp(want).sum(-1, keepdims=True))
+    got = a.log_probabilities(x, y, np.ones(x.shape, dtype=bool))
+    assert np.allclose(got, np.take_along_axis(want, y[..., None], 2).ravel(), atol=1e-4)
+    a.w["q"][:] *= 200  # scores whose exp would overflow
+    assert np.allclose(a.log_probabilities(x, y, np.ones(x.shape, dtype=bool)), got, atol=1e-4)
+
+
+def test_reader_is_a_plain_split():
+    rng = random.Random(8)
+    reader = lm.Reader(RANKS)
+    ranks = bpe.load_ranks(RANKS)
+    alphabet = ["the", "Straße", "İ", "x" * 40, "internationalization", " ", "é", "Q", "_", "42", "\x1c", "\x85"]
+    texts = [None, "", " ", "\tA b\x0bC\x0c d\r\n"] + ["".join(rng.choice([*alphabet, " ", "\n", "\t "]) for _ in range(60)) for _ in range(50)]
+    for text, got in zip(texts, reader(texts), strict=True):
+        words = (text or "").encode().lower().split()
+        assert reader.hashes[got].tolist() == [(h := xxhash.xxh3_64_intdigest(w)) - (h >> 63 << 64) for w in words]
+        for w, piece in zip(words, reader.first[got].tolist(), strict=True):
+            spaced = b" " + w[: lm.LONGEST - 1]
+            assert piece == next(ranks[spaced[:n]] for n in range(len(spaced), 0, -1) if spaced[:n] in ranks)
+    assert [len(x) for x in reader(pa.array(texts)[2:4])] == [0, 4] and reader([]) == []
