@@ -738,6 +738,43 @@ def test_gradients():
         assert np.isclose(g[name][at], (loss[0] - loss[1]) / 2e-4, rtol=2e-2, atol=1e-6), name
 
 
+def test_lanes_learn_apart():
+    """Pages trained side by side learn what each learns alone, and a page that ends first is left as it is."""
+    rng = np.random.default_rng(6)
+    bigram = rng.standard_normal((lm.CLASSES + 1, lm.CLASSES))
+    data = [lm.windows([rng.integers(1, lm.CLASSES, n) for n in lengths])[:3] for lengths in ([30] * 70, [200] * 20 + [5] * 40, [0, 3])]
+    alone, lanes = ([lm.Attention(bigram) for _ in data] for _ in range(2))
+    for a in (*alone, *lanes):
+        a.start()
+    for a, own in zip(alone, data, strict=True):
+        a.train(*own)
+    lm.train_lanes(lanes, data, 0)
+    for a, b in zip(alone, lanes, strict=True):
+        assert a.step == b.step and np.allclose(a.state(), b.state(), rtol=1e-3, atol=2e-5)
+    assert [a.step for a in lanes] == [-(-len(x) // 64) for x, _, _ in data]
+
+
+def test_texts_are_read_once(spark, monkeypatch, tmp_path):
+    """One reading of the texts serves counts, pages and scores: each text is handed to a reader once."""
+    seen, plain = str(tmp_path / "seen"), lm.Reader
+
+    class Noted(plain):
+        def __call__(self, texts):
+            with open(seen, "a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return plain.__call__(self, texts)
+
+    monkeypatch.setattr(lm, "Reader", Noted)
+    monkeypatch.setattr(lm, "MERGED", 2)
+    monkeypatch.setattr(lm, "RANGE_WORDS", 3)
+    data = [f"only{i} both" for i in range(40)] + ["both"] * 3
+    got = lm.score_documents(make(spark, data), RANKS).collect()
+    held = sum(zlib.crc32(str(i).encode()) % 7 == 2 for i in range(40))
+    assert len(got) == 43 and all(r["n_known"] == (2 + (not r["held_out"]) if r["doc_id"] < 40 else 2) for r in got) and held
+    with open(seen) as f:
+        assert sorted(f.read().split("\n")[:-1]) == sorted(data)
+
+
 def test_windows_ask_for_nothing_before_their_stride():
     """Places that do not count need no scores of their own, and what fills a window in front of a text is seen by none."""
     rng = np.random.default_rng(0)
