@@ -414,8 +414,8 @@ def _class_pairs(texts: list[np.ndarray], class_of: np.ndarray) -> np.ndarray:
 def read_corpus(rows: DataFrame, tokenizer: str) -> DataFrame:
     """A table of what is read of the texts, each of them once, with a row for up to 512 texts.
 
-    Of each text id, fold, key, and number of words; the words of all texts as numbers (uint32) of different words; of each
-    different word hash (int64), subword id (uint16), and how often training texts have it (int64).
+    Of each text id, fold, key, and number of words; the words of all texts as numbers (uint16, or uint32 if there are
+    more) of different words; of each different word hash (int64), subword id (uint16), and how often training texts have it (int64).
     """
     names = ["doc_id", "held_out", "key", "lengths", "words", "hashes", "pieces", "counts"]
 
@@ -427,7 +427,7 @@ def read_corpus(rows: DataFrame, tokenizer: str) -> DataFrame:
             words = np.concatenate(texts)
             learned = words[np.repeat(~batch.column(1).to_numpy(zero_copy_only=False), lengths)]
             counts = np.bincount(learned, minlength=len(reader.first))
-            parts = [words.astype(np.uint32), reader.hashes, reader.first.astype(np.uint16), counts]
+            parts = [words.astype(np.uint16 if len(reader.first) <= 1 << 16 else np.uint32), reader.hashes, reader.first.astype(np.uint16), counts]
             lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), c) for c in (*batch.columns[:3], pa.array(lengths, pa.int64()))]
             yield pa.RecordBatch.from_arrays(lists + [pa.array([x.tobytes()], pa.binary()) for x in parts], names)
 
@@ -436,6 +436,12 @@ def read_corpus(rows: DataFrame, tokenizer: str) -> DataFrame:
     return materialize(keyed.mapInArrow(run, schema), "read", maxRecordsPerFile=PAGE_BATCH)
 
 
+def word_numbers(words: pa.BinaryScalar, n: int) -> np.ndarray:
+    """The n numbers of words in a row of read_corpus."""
+    data = words.as_buffer()
+    return np.frombuffer(data, dtype=np.uint16 if data.size == 2 * n else np.uint32)
+
+
 def write_pages(read: DataFrame, n_docs: int) -> DataFrame:
     """A table of pages: lengths (int32 each) and subword ids (uint16 each) of training documents dealt by a hash of id and text."""
     page_tokens = PAGE_TOKENS
@@ -444,8 +450,8 @@ def write_pages(read: DataFrame, n_docs: int) -> DataFrame:
         for batch in batches:
             for held_out, key, lengths, words, pieces in zip(*batch.columns, strict=True):
                 ends = np.cumsum(lengths.values.to_numpy()).tolist()
-                data = memoryview(np.frombuffer(pieces.as_buffer(), dtype=np.uint16).take(np.frombuffer(words.as_buffer(), dtype=np.uint32))).cast("B")
-                ids = [bytes(data[2 * lo : 2 * hi]) for lo, hi in zip([0, *ends], ends, strict=False)]
+                data = np.frombuffer(pieces.as_buffer(), dtype=np.uint16)[word_numbers(words, ends[-1])].tobytes()
+                ids = [data[2 * lo : 2 * hi] for lo, hi in zip([0, *ends], ends, strict=False)]
                 kept = pc.invert(held_out.values)
                 yield pa.RecordBatch.from_arrays([key.values.filter(kept), pa.array(ids, pa.binary()).filter(kept)], ["key", "ids"])
 
@@ -715,7 +721,8 @@ def score_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             for doc_id, held_out, lengths, words, hashes, pieces in zip(*batch.columns, strict=True):
                 lengths = lengths.values.to_numpy()
-                words, h, pieces = (np.frombuffer(x.as_buffer(), dtype=t) for x, t in ((words, np.uint32), (hashes, np.int64), (pieces, np.uint16)))
+                words = word_numbers(words, int(lengths.sum())).astype(np.int64)
+                h, pieces = np.frombuffer(hashes.as_buffer(), dtype=np.int64), np.frombuffer(pieces.as_buffer(), dtype=np.uint16)
                 at = np.minimum(np.searchsorted(hot_word, h), max(0, len(hot_word) - 1))
                 log_count = np.where(hot_word[at] == h, np.log10(hot_count[at] + 1.0), np.nan) if len(hot_word) else np.full(len(h), np.nan)
                 n, found = len(lengths), log_count[words]  # of each word: log10 of count + 1 if hot, else NaN

@@ -775,6 +775,24 @@ def test_texts_are_read_once(spark, monkeypatch, tmp_path):
         assert sorted(f.read().split("\n")[:-1]) == sorted(data)
 
 
+def test_only_empty_texts_have_scores(spark):
+    data = ["", None, " \t"] * 5
+    got = lm.score_documents(make(spark, data), RANKS).collect()
+    ends = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(15))
+    assert len(got) == 15 and {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got} == {(1, 1, ends)}
+    assert all(math.isclose(r["base_score"], math.log10((ends + 1) / (ends + 2))) and r["score"] <= 0 for r in got)
+
+
+def test_more_words_than_two_bytes_number(spark):
+    data = [" ".join(f"w{i}x{k}" for k in range(2500)) for i in range(28)] + ["w0x0 w27x2499"] * 7
+    read = lm.read_corpus(make(spark, data).repartition(1).withColumn("held_out", F.lit(False)), RANKS)
+    row = read.first()
+    assert sum(row["lengths"]) == 28 * 2500 + 14 and len(row["words"]) == 4 * (28 * 2500 + 14)
+    got = {r["doc_id"]: r for r in lm.score_documents(make(spark, data).repartition(1), RANKS).collect()}
+    known = {k for k in range(28) if zlib.crc32(str(k).encode()) % 7 != 2}
+    assert all(got[k]["n_known"] == (2501 if k in known else 1 + (k in (0, 27))) for k in range(28)) and len(got) == 35
+
+
 def test_windows_ask_for_nothing_before_their_stride():
     """Places that do not count need no scores of their own, and what fills a window in front of a text is seen by none."""
     rng = np.random.default_rng(0)
