@@ -15,11 +15,13 @@ Windows overlap: each token is scored once, and after the first window it has at
 least ``WINDOW - STRIDE`` tokens before it.  Windows of many texts go through masked
 attention as one batch.
 
+Texts are read once, into a table that counts, pages and scores come from.
 Everything is learned from all training documents.  Their subword ids are written
 once as pages of about ``PAGE_TOKENS`` tokens, dealt by a hash of id and text.  Classes
 come from counts over all pages; attention is trained in ``EPOCHS`` distributed passes
 over all windows: each page starts from the same weights, goes over its own windows
-with Adam, and weights and moments are averaged by the number of targets.
+with Adam, and weights and moments are averaged by the number of targets.  A task takes
+``LANES`` pages side by side.
 
 The base is a word unigram with add-one smoothing.  The word counts are a
 distributed table.  The ``HOT_WORDS`` most frequent words are broadcast; every other
